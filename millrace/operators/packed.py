@@ -35,12 +35,24 @@ def _unquote(span: Column, listed: Column) -> Column:
     return F.replace(value, F.lit(OPEN + "x"), F.lit(OPEN))
 
 
-def explode_texts(df: DataFrame, field: str, text: str, delimiters: dict[str, str]) -> DataFrame:
-    """df without its text, with item_no (from 1) and item_value: one row per non-empty value in stored order, repeats kept.
+def _restore(item: Column, spans: Column, listed: Column) -> Column:
+    """The value of an item in which placeholders stand for spans."""
+    index = F.regexp_extract(item, f"^{OPEN}(\\d+){CLOSE}$", 1)
+    mixed = F.aggregate(
+        spans,
+        F.struct(item.alias("t"), F.lit(0).alias("i")),
+        lambda a, s: F.struct(
+            F.replace(a["t"], F.concat(F.lit(OPEN), a["i"].cast("string"), F.lit(CLOSE)), _unquote(s, listed)).alias("t"),
+            (a["i"] + 1).alias("i"),
+        ),
+        lambda a: F.replace(a["t"], F.lit(OPEN + "x"), F.lit(OPEN)),
+    )
+    whole = F.transform(F.array(F.get(spans, index.cast("int"))), lambda s: _unquote(s, listed))[0]
+    return utrim(F.when(~item.contains(OPEN), item).when(index != "", whole).otherwise(mixed))
 
-    delimiters: values of the field column to the pattern that separates unquoted values. Brackets of a list are
-    dropped, quote marks and escapes undone, outer whitespace removed. Null, blank and empty lists give no row. An
-    unclosed quote mark is ordinary text; a span that touches unquoted text stays one value with it.
+
+def _items(df: DataFrame, field: Column, text: str, delimiters: dict[str, str]) -> DataFrame:
+    """df with __listed, __spans and __items: the split text, placeholders in the place of spans, no empty item.
 
     Each step is a generator over one element, which keeps the optimizer from copying it into each of its uses.
     """
@@ -48,9 +60,8 @@ def explode_texts(df: DataFrame, field: str, text: str, delimiters: dict[str, st
     def step(frame: DataFrame, name: str, c: Column) -> DataFrame:
         return frame.select("*", F.explode(F.array(c)).alias(name))
 
-    t, body, spans = F.col(text), F.col("__body"), F.col("__spans")
-    keep = [c for c in df.columns if c != text]
-    df = step(df.where(t.isNotNull()), "__listed", t.rlike(LISTED))
+    t, body, spans = F.coalesce(F.col(text), F.lit("")), F.col("__body"), F.col("__spans")
+    df = step(df, "__listed", t.rlike(LISTED))
     df = step(df, "__body", F.replace(F.when(F.col("__listed"), F.regexp_replace(t, r"(?s)^\s*[\[{]|[\]}]\s*$", "")).otherwise(t), F.lit(OPEN), F.lit(OPEN + "x")))
     quoted = body.rlike("[\"']")
     df = step(df, "__spans", F.when(quoted, F.regexp_extract_all(body, F.lit(QUOTED), F.lit(0))).otherwise(F.array().cast("array<string>")))
@@ -60,25 +71,31 @@ def explode_texts(df: DataFrame, field: str, text: str, delimiters: dict[str, st
         lambda p, i: F.when(i == 0, p).when(F.get(spans, i - 1).rlike(r"(?U)^.\s*.$"), p).otherwise(F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(CLOSE), p)),
     )
     df = step(df, "__masked", utrim(F.when(F.size(spans) > 0, F.array_join(between, "")).otherwise(body)))
-    items = F.lit(None).cast("array<string>")
+    items = F.array().cast("array<string>")
     for name, d in delimiters.items():
-        inner = F.regexp_replace(F.col("__masked"), f"^{d}|{d}$".replace("(?U)", "") if "(?U)" not in d else "(?U)^" + d[4:] + "|" + d[4:] + "$", "")
-        items = F.when(F.col(field) == name, F.when(inner != "", F.split(inner, d))).otherwise(items)
-    df = step(df, "__items", items).select(*keep, "__listed", "__spans", F.posexplode("__items").alias("__pos", "__item"))
-    item = F.col("__item")
-    index = F.regexp_extract(item, f"^{OPEN}(\\d+){CLOSE}$", 1)
-    mixed = F.aggregate(
-        spans,
-        F.struct(item.alias("t"), F.lit(0).alias("i")),
-        lambda a, s: F.struct(
-            F.replace(a["t"], F.concat(F.lit(OPEN), a["i"].cast("string"), F.lit(CLOSE)), _unquote(s, F.col("__listed"))).alias("t"),
-            (a["i"] + 1).alias("i"),
-        ),
-        lambda a: F.replace(a["t"], F.lit(OPEN + "x"), F.lit(OPEN)),
-    )
-    whole = F.transform(F.array(F.get(spans, index.cast("int"))), lambda s: _unquote(s, F.col("__listed")))[0]
-    value = F.when(~item.contains(OPEN), item).when(index != "", whole).otherwise(mixed)
-    return df.select(*keep, (F.col("__pos") + 1).cast("int").alias("item_no"), utrim(value).alias("item_value"))
+        bare = d.removeprefix("(?U)")
+        inner = F.regexp_replace(F.col("__masked"), f"(?U)^{bare}|{bare}$", "")
+        items = F.when(field == name, F.when(inner != "", F.split(inner, d)).otherwise(F.array().cast("array<string>"))).otherwise(items)
+    return step(df, "__items", items)
+
+
+def explode_texts(df: DataFrame, field: str, text: str, delimiters: dict[str, str]) -> DataFrame:
+    """df without its text, with item_no (from 1) and item_value: one row per non-empty value in stored order, repeats kept.
+
+    delimiters: values of the field column to the pattern that separates unquoted values. Brackets of a list are
+    dropped, quote marks and escapes undone, outer whitespace removed. Null, blank and empty lists give no row. An
+    unclosed quote mark is ordinary text; a span that touches unquoted text stays one value with it.
+    """
+    keep = [c for c in df.columns if c != text]
+    rows = _items(df.where(F.col(text).isNotNull()), F.col(field), text, delimiters).select(*keep, "__listed", "__spans", F.posexplode("__items").alias("__pos", "__item"))
+    return rows.select(*keep, (F.col("__pos") + 1).cast("int").alias("item_no"), _restore(F.col("__item"), F.col("__spans"), F.col("__listed")).alias("item_value"))
+
+
+def with_values(df: DataFrame, text: str, delimiters: str, out: str) -> DataFrame:
+    """df without its text, with ``out``: the array of its values as ``explode_texts`` gives them; no row is lost."""
+    keep = [c for c in df.columns if c != text]
+    rows = _items(df, F.lit("f"), text, {"f": delimiters})
+    return rows.select(*keep, F.transform("__items", lambda x: _restore(x, F.col("__spans"), F.col("__listed"))).alias(out))
 
 
 def explode_packed(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
