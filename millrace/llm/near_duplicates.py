@@ -13,7 +13,7 @@ Equal sets are one node entry; their rows come back through the membership table
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def shingle_counts(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, int]:
-    """How many rows hold a shingle, in a table of fixed width addressed by hash (never less than the true count), and their sum.
+def counted(df: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[np.ndarray, int]:
+    """How often each token occurs, in a table of fixed width addressed by hash (never less than the true count), and their sum.
 
     Each task sums its rows in one table, tasks meet in an aggregation by block, and only the summed table, whose size
     doesn't depend on the data, reaches the driver.
@@ -52,11 +52,9 @@ def shingle_counts(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            flat, n, _ = S.word_hashes(_texts(batch, text))
-            h, _ = S.shingle_sets(flat, n, width)
-            total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            total += np.bincount((tokens(batch) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         if total.any():
-            parts = total.astype(np.uint32).reshape(blocks, -1)
+            parts = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(blocks, -1)
             yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,13 +68,23 @@ def shingle_counts(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, in
             yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": pa.array([s.astype(np.uint32).tobytes() for s in sums.values()], pa.binary())})
 
     schema = "block int, counts binary"
-    rows = df.select(text).mapInArrow(count, schema).repartition(16, "block").mapInArrow(add, schema).collect()
+    rows = df.mapInArrow(count, schema).repartition(16, "block").mapInArrow(add, schema).collect()
     table = np.zeros((blocks, SKETCH // blocks), np.uint32)
     for r in rows:
         table[r.block] = np.frombuffer(r.counts, np.uint32)
     return table.reshape(-1), int(table.sum(dtype=np.int64))
 
 
+def shingle_counts(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, int]:
+    """How many rows hold each shingle."""
+
+    def tokens(batch: pa.RecordBatch) -> np.ndarray:
+        flat, n, _ = S.word_hashes(_texts(batch, text))
+        return S.shingle_sets(flat, n, width)[0]
+
+    return counted(df.select(text), tokens)
+
+
 def _pack(part: int, docs: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, postings: list[np.ndarray]) -> bytes:
     head = np.array([len(docs), int(counts.sum())], np.int64)
     return b"".join(x.tobytes() for x in (head, *(c[docs] for c in columns), counts.astype(np.uint32), *postings))
@@ -230,8 +238,8 @@ def candidates(posted: DataFrame, t: float, n_parts: int) -> DataFrame:
     return posted.repartition(n_parts, "part").mapInArrow(meet, "a1 long, a2 long, b1 long, b2 long").dropDuplicates()
 
 
-def packed_sets(df: DataFrame, text: str, width: int, keep: list[str]) -> DataFrame:
-    """keep columns, s1, s2 (id of the set) and its packed shingles; rows without shingles give none."""
+def packed_texts(df: DataFrame, text: str, width: int, keep: list[str]) -> DataFrame:
+    """keep columns, s1, s2 (id of the set of shingles) and the packed words; rows without words give none."""
     names = [f.name for f in df.schema.fields if f.name in keep]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,31 +248,29 @@ def packed_sets(df: DataFrame, text: str, width: int, keep: list[str]) -> DataFr
             flat, n_words, _ = S.word_hashes(texts)
             h, doc = S.shingle_sets(flat, n_words, width)
             id1, id2 = S.set_ids(h, doc, len(texts))
-            edges = np.searchsorted(doc, np.arange(len(texts) + 1))
-            have = np.flatnonzero(edges[1:] > edges[:-1])
+            edges = np.concatenate(([0], np.cumsum(n_words)))
+            have = np.flatnonzero(n_words)
             rest = {c: batch.column(batch.schema.get_field_index(c)).take(pa.array(have)) for c in names}
-            yield pa.RecordBatch.from_pydict(rest | {"s1": id1[have], "s2": id2[have], "shingles": pa.array([S.pack_set(h[edges[d] : edges[d + 1]]) for d in have], pa.binary())})
+            yield pa.RecordBatch.from_pydict(rest | {"s1": id1[have], "s2": id2[have], "words": pa.array([S.pack_words(flat[edges[d] : edges[d + 1]]) for d in have], pa.binary())})
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in keep)
-    return df.select(*names, text).mapInArrow(make, kinds + "s1 long, s2 long, shingles binary")
+    return df.select(*names, text).mapInArrow(make, kinds + "s1 long, s2 long, words binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Those of the pairs (a1, a2, b1, b2) whose sets have a likeness of at least t."""
+def verified(pairs: DataFrame, texts: DataFrame, t: float, width: int) -> DataFrame:
+    """Those of the pairs (a1, a2, b1, b2) whose sets of shingles have a likeness of at least t."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("x", "y"))
-            ok = []
-            for p, q in zip(x, y):
-                p, q = S.unpack_set(p), S.unpack_set(q)
-                c = S.common(p, q)
-                ok.append(c >= t * (len(p) + len(q) - c) - EPS)
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a1", "a2", "b1", "b2"])
-
-    one = sets.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"))
-    left = pairs.join(one.withColumnsRenamed({"s1": "a1", "s2": "a2", "shingles": "x"}), ["a1", "a2"])
-    both = left.join(one.withColumnsRenamed({"s1": "b1", "s2": "b2", "shingles": "y"}), ["b1", "b2"])
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                x, y = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("x", "y"))
+                c, p, q = S.overlaps(x, y, width)
+                yield part.filter(pa.array(c >= t * (p + q - c) - EPS)).select(["a1", "a2", "b1", "b2"])
+
+    one = texts.groupBy("s1", "s2").agg(F.first("words").alias("words"))
+    left = pairs.join(one.withColumnsRenamed({"s1": "a1", "s2": "a2", "words": "x"}), ["a1", "a2"])
+    both = left.join(one.withColumnsRenamed({"s1": "b1", "s2": "b2", "words": "y"}), ["b1", "b2"])
     return both.select("a1", "a2", "b1", "b2", "x", "y").mapInArrow(check, "a1 long, a2 long, b1 long, b2 long")
 
 
@@ -277,12 +283,12 @@ def similar_sets(df: DataFrame, text: str, t: float = 0.8, width: int = 5) -> Da
     table, total = shingle_counts(df, text, width)
     parts = n_partitions(df, int(total * (1 - t) * 1.2))
     pairs = candidates(post_sets(df, text, width, t, table, total, parts), t, parts)
-    return verified(pairs, packed_sets(df, text, width, []), t)
+    return verified(pairs, packed_texts(df, text, width, []), t, width)
 
 
 def memberships(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, s1, s2: the id of each row's set; rows without shingles give none."""
-    return packed_sets(df, text, width, [key]).drop("shingles")
+    return packed_texts(df, text, width, [key]).drop("words")
 
 
 def near_duplicate_rows(df: DataFrame, key: str, text: str, t: float = 0.8, width: int = 5) -> DataFrame:

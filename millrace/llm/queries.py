@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.llm.history import match_batches
 from millrace.llm.near_duplicates import likeness_text, near_duplicate_rows
 from millrace.llm.survivors import survivors
+from millrace.operators.packed import KEYS, with_values
 from millrace.session import table
 
 
@@ -18,5 +20,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_rows(jobs, "job_row_id", "body", t=0.6, width=3)
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    body = likeness_text(F.col("title"), F.col("description")).alias("body")
+    both = None
+    for name, new in (("jobs", False), ("incoming_jobs", True)):
+        rows = table(spark, d, name).select("job_row_id", F.lit(new).alias("is_new"), "job_id_hash", body, "block_key")
+        both = rows if both is None else both.unionAll(rows)
+    return match_batches(with_values(both, "block_key", KEYS, "keys"), "job_row_id", t=0.6)
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}

@@ -64,7 +64,7 @@ def shingle_sets(flat: np.ndarray, n_words: np.ndarray, width: int = 3) -> tuple
     padded = np.concatenate((flat, np.zeros(width, np.uint64)))
     h = np.zeros(len(doc), np.uint64)
     for i in range(width):
-        h = mix(h + np.where(left > i, padded[first + i], np.uint64(i + 1)) * _K[i % 3])
+        h = mix(h + np.where(left > i, padded[first + i], np.uint64((1 << 40) + i)) * _K[i % 3])
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     keep = np.ones(len(h), bool)
@@ -86,20 +86,24 @@ def bitmaps(h: np.ndarray, doc: np.ndarray, n_docs: int, longs: int = 3) -> np.n
     return np.packbits(bits.astype(np.uint8).reshape(n_docs, -1), axis=1).view(np.uint64)
 
 
-def pack_set(h: np.ndarray) -> bytes:
-    """48 bits of each hash, in ascending order: two sets of a thousand differ in a common hash once in 10**8 pairs."""
-    return (h >> np.uint64(32)).astype(np.uint32).tobytes() + ((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+def pack_words(flat: np.ndarray) -> bytes:
+    """24 bits of the hash of each word. Shingles made of these differ wrongly from those of full hashes only where all words of a run collide in place."""
+    low = (flat & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return low[:, :3].tobytes()
 
 
-def unpack_set(b: bytes) -> np.ndarray:
-    n = len(b) // 6
-    return (np.frombuffer(b, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(b, np.uint16, n, 4 * n).astype(np.uint64)
+def unpack_words(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, number of words per text), as word_hashes gives them."""
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 3).astype(np.uint64)
+    return raw[:, 0] | raw[:, 1] << np.uint64(8) | raw[:, 2] << np.uint64(16), np.array([len(p) // 3 for p in packed], np.int64)
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted arrays."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
+def overlaps(x: list[bytes], y: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of packed texts: common shingles, shingles of x, shingles of y."""
+    hx, dx = shingle_sets(*unpack_words(x), width)
+    hy, dy = shingle_sets(*unpack_words(y), width)
+    h, d = np.concatenate((hx, hy)), np.concatenate((dx, dy))
+    order = np.lexsort((h, d))
+    h, d = h[order], d[order]
+    twice = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
+    return np.bincount(d[1:][twice], minlength=len(x)), np.bincount(dx, minlength=len(x)), np.bincount(dy, minlength=len(x))
