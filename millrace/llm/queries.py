@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.llm.bpe import encode_corpus
 from millrace.llm.history import match_batches
 from millrace.llm.near_duplicates import likeness_text, near_duplicate_rows
+from millrace.llm.packing import pack_corpus
+from millrace.llm.pieces import split_corpus
 from millrace.llm.survivors import survivors
 from millrace.operators.packed import KEYS, with_values
 from millrace.session import table
@@ -29,5 +32,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return match_batches(with_values(both, "block_key", KEYS, "keys"), "job_row_id", t=0.6)
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    budgets = [(r.budget_id, r.tokenizer_name, r.capacity_tokens) for r in table(spark, d, "token_budgets").collect()]
+    return pack_corpus(table(spark, d, "documents"), "doc_id", "text", budgets)
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    budgets = [(r.budget_id, r.tokenizer_name, r.piece_tokens, r.overlap_tokens) for r in table(spark, d, "token_budgets").collect()]
+    return split_corpus(table(spark, d, "documents"), "doc_id", "text", budgets)
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}
