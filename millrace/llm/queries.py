@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm.bpe import encode_corpus
 from millrace.llm.history import match_batches
+from millrace.llm.names import company_pairs
 from millrace.llm.near_duplicates import likeness_text, near_duplicate_rows
 from millrace.llm.packing import pack_corpus
 from millrace.llm.pieces import split_corpus
@@ -18,6 +19,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors(table(spark, d, "jobs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return company_pairs(table(spark, d, "jobs").select("company"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     jobs = table(spark, d, "jobs").select("job_row_id", likeness_text(F.col("title"), F.col("description")).alias("body"))
     return near_duplicate_rows(jobs, "job_row_id", "body", t=0.6, width=3)
@@ -46,5 +51,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_corpus(table(spark, d, "documents"), "doc_id", "text", budgets)
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}
