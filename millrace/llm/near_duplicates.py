@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm import shingles as S
-from millrace.session import is_blank
+from millrace.session import cut, is_blank
 
 EPS = 1e-9
 #: Width of the table of counts (power of two): 4 bytes each, the same size for any input.
@@ -29,6 +29,8 @@ SKETCH = 1 << 20
 BLOCK = 4096
 #: Postings that one partition should hold.
 PER_PARTITION = 2_000_000
+#: Longs of a bitmap.
+LONGS = 4
 _CHUNK = 1 << 20
 
 
@@ -151,7 +153,7 @@ def post_sets(df: DataFrame, text: str, width: int, t: float, table: np.ndarray,
             id1, id2 = S.set_ids(h, doc, len(texts))
             once = np.zeros(len(texts), bool)
             once[first_of_each(id1, id2)] = True
-            bits = S.bitmaps(h, doc, len(texts))
+            bits = S.bitmaps(h, doc, len(texts), LONGS)
             df_of = counts[(h & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
             order = np.lexsort((h, df_of, doc))
             h, doc, df_of = h[order], doc[order], df_of[order]
@@ -181,7 +183,7 @@ def candidates(posted: DataFrame, t: float, n_parts: int) -> DataFrame:
         held: dict[int, list] = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(part, []).append(_unpack(blob, [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, 3)], [np.uint32, np.uint32]))
+                held.setdefault(part, []).append(_unpack(blob, [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, LONGS)], [np.uint32, np.uint32]))
         for part in list(held):
             yield from traverse(held.pop(part))
 
@@ -297,10 +299,19 @@ def near_duplicate_rows(df: DataFrame, key: str, text: str, t: float = 0.8, widt
     Null texts and texts without words take no part; exact repeats are pairs too. Other columns of df are ignored.
     """
     df = df.select(F.col(key), F.col(text))
-    sets, rows = similar_sets(df, text, t, width), memberships(df, key, text, width)
-    a = rows.withColumnsRenamed({"s1": "a1", "s2": "a2", key: "x"})
-    b = rows.withColumnsRenamed({"s1": "b1", "s2": "b2", key: "y"})
-    between = sets.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("x", "y")
-    within = rows.withColumnRenamed(key, "x").join(rows.withColumnRenamed(key, "y"), ["s1", "s2"]).where("x < y").select("x", "y")
-    every = between.unionAll(within)
+    return expanded(similar_sets(df, text, t, width), memberships(df, key, text, width), key, F.lit(True))
+
+
+def expanded(sets: DataFrame, members: DataFrame, key: str, wanted: Column) -> DataFrame:
+    """<key>_a, <key>_b: the pairs of rows of pairs of sets and of equal sets, as far as ``wanted`` (of the structs x and y of the members' columns) holds.
+
+    The members, a few numbers a row, are written once to the shared folder: the texts aren't read again for each join.
+    """
+    members = cut(members)
+    rest = F.struct(*[c for c in members.columns if c not in ("s1", "s2")])
+    m = members.select("s1", "s2", rest.alias("m"))
+    a = sets.withColumnsRenamed({"a1": "s1", "a2": "s2"}).join(m, ["s1", "s2"]).select("b1", "b2", F.col("m").alias("x"))
+    between = a.withColumnsRenamed({"b1": "s1", "b2": "s2"}).join(m, ["s1", "s2"]).select("x", F.col("m").alias("y")).where(wanted)
+    within = m.withColumnRenamed("m", "x").join(m.withColumnRenamed("m", "y"), ["s1", "s2"]).where((F.col("x")[key] < F.col("y")[key]) & wanted)
+    every = between.unionAll(within.select("x", "y")).select(F.col("x")[key].alias("x"), F.col("y")[key].alias("y"))
     return every.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
