@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.session import utrim
+from millrace.session import SPACES, utrim
 
 #: Placeholders are OPEN, index, CLOSE. An OPEN that stands in the data becomes OPEN + "x" before masking, and "x" is no
 #: digit, so no text can look like a placeholder.
@@ -20,7 +20,9 @@ QUOTED = r"""(?s)"(?:[^"\\]|\\.|"")*"|(?<![^\s,;|\[{(])'(?:[^'\\]|\\.)*'(?=\s*(?
 #: Unquoted values are words of letters, digits and "_": whatever else stands between them separates.
 WORDS = rf"(?U)[^\p{{L}}\p{{N}}_{OPEN}{CLOSE}]+"
 #: Unquoted values are keys with inner blanks, "|", ":", "." and "-": only list marks and control characters separate.
-KEYS = r"(?U)(?:\s*[,;，；、\t\r\n]\s*)+"
+KEYS = rf"[,;，；、\t\r\n][,;，；、{SPACES}]*"
+#: What may stand before the first and after the last value, for each kind of delimiter.
+ENDS = {KEYS: ",;，；、" + SPACES}
 
 LISTED = r"(?s)^\s*(?:\[.*\]|\{.*\})\s*$"
 
@@ -74,7 +76,7 @@ def _items(df: DataFrame, field: Column, text: str, delimiters: dict[str, str])
     items = F.array().cast("array<string>")
     for name, d in delimiters.items():
         bare = d.removeprefix("(?U)")
-        inner = F.regexp_replace(F.col("__masked"), f"(?U)^{bare}|{bare}$", "")
+        inner = F.trim(F.col("__masked"), F.lit(ENDS[d])) if d in ENDS else F.regexp_replace(F.col("__masked"), f"(?U)^{bare}|{bare}$", "")
         items = F.when(field == name, F.when(inner != "", F.split(inner, d)).otherwise(F.array().cast("array<string>"))).otherwise(items)
     return step(df, "__items", items)
 

@@ -7,8 +7,8 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Unicode-aware trimming and the marks of an absent value.
-TRIM = r"(?U)^\s+|\s+$"
+# The characters that count as white space.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def utrim(c: Column) -> Column:
-    return F.regexp_replace(c, TRIM, "")
+    """Without white space of any kind at either end."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
