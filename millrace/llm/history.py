@@ -23,7 +23,7 @@ from millrace.llm import near_duplicates as N, shingles as S
 
 #: One word in DIVISOR ends a chunk.
 DIVISOR = 3
-COVERAGE = 0.2
+COVERAGE = 0.1
 
 
 def chunks_of(flat: np.ndarray, n_words: np.ndarray, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,31 +44,18 @@ def chunks_of(flat: np.ndarray, n_words: np.ndarray, docs: list[list[bytes]]) ->
     return h[keep], doc[keep], size[keep]
 
 
-def _routed(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(token, doc, bytes) of the routes x chunks of each record, and its shingles (hash, doc)."""
-    texts = batch.column(batch.schema.get_field_index("body")).to_pylist()
-    flat, n_words, docs = S.word_hashes(texts)
-    h, doc, size = chunks_of(flat, n_words, docs)
-    routes = batch.column(batch.schema.get_field_index("routes"))
-    n_routes = np.array([len(r or ()) for r in routes.to_pylist()], np.int64)
-    values = np.asarray(routes.flatten(), dtype=np.int64).view(np.uint64)
-    first = np.cumsum(n_routes) - n_routes
-    i, r = N.ranges(first[doc], n_routes[doc])
-    return S.mix(h[i] ^ values[r]), doc[i], size[i], n_routes, *S.shingle_sets(flat, n_words, 3)
-
-
 def route(key: Column) -> Column:
     """Keys that differ only by the prefix of an apply domain lead to the same records."""
     return F.xxhash64(F.regexp_replace(key, "^apply:", ""))
 
 
 def chunk_counts(df: DataFrame) -> tuple[np.ndarray, int]:
-    """As near_duplicates.shingle_counts, of (route, chunk)."""
+    """As near_duplicates.shingle_counts, of chunks."""
 
     def tokens(batch: pa.RecordBatch) -> np.ndarray:
-        return _routed(batch)[0]
+        return chunks_of(*S.word_hashes(N._texts(batch, "body")))[0]
 
-    return N.counted(df.select("body", "routes"), tokens)
+    return N.counted(df.select("body"), tokens)
 
 
 def post_chunks(df: DataFrame, table: np.ndarray, n_parts: int, coverage: float) -> DataFrame:
@@ -76,24 +63,31 @@ def post_chunks(df: DataFrame, table: np.ndarray, n_parts: int, coverage: float)
     given = df.sparkSession.sparkContext.broadcast(table)  # a table of fixed width
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
         counts = given.value
         for batch in batches:
-            token, doc, size, n_routes, h, hd = _routed(batch)
             n = batch.num_rows
+            flat, n_words, docs = S.word_hashes(N._texts(batch, "body"))
+            h, hd = S.shingle_sets(flat, n_words, 3)
             id1, id2 = S.set_ids(h, hd, n)
-            bits, shingles = S.bitmaps(h, hd, n), np.bincount(hd, minlength=n)
+            bits, shingles = S.bitmaps(h, hd, n, N.LONGS), np.bincount(hd, minlength=n)
             new = np.asarray(batch.column(batch.schema.get_field_index("is_new")).to_numpy(zero_copy_only=False), np.uint8)
-            df_of = counts[(token & np.uint64(N.SKETCH - 1)).astype(np.int64)].astype(np.int64)
-            order = np.lexsort((token, df_of, doc))
-            token, doc, size, df_of = token[order], doc[order], size[order], df_of[order]
-            per = np.bincount(doc, weights=size, minlength=n)
-            before = np.cumsum(size) - size
-            before = before - np.repeat((np.cumsum(per) - per), np.bincount(doc, minlength=n))
-            # bytes count once for each route
-            use = (before <= (1 - coverage / np.maximum(n_routes, 1)[doc]) * per[doc]) & (df_of > 1)
-            token, doc, size = token[use], doc[use], size[use]
-            total = (per / np.maximum(n_routes, 1)).astype(np.uint32)
-            token = (token >> np.uint64(32)).astype(np.uint32)
+            chunk, doc, size = chunks_of(flat, n_words, docs)
+            df_of = counts[(chunk & np.uint64(N.SKETCH - 1)).astype(np.int64)].astype(np.int64)
+            order = np.lexsort((chunk, df_of, doc))
+            chunk, doc, size, df_of = chunk[order], doc[order], size[order], df_of[order]
+            total = np.bincount(doc, weights=size, minlength=n).astype(np.int64)
+            before = np.cumsum(size) - size - (np.cumsum(total) - total)[doc]
+            # a chunk that stands once leads to no other record
+            use = (before <= (1 - coverage) * total[doc]) & (df_of > 1)
+            chunk, doc, size = chunk[use], doc[use], size[use]
+            routes = batch.column(batch.schema.get_field_index("routes"))
+            n_routes = np.array(pa.compute.fill_null(pa.compute.list_value_length(routes), 0), np.int64)
+            values = np.asarray(routes.flatten(), dtype=np.int64).view(np.uint64)
+            i, r = N.ranges((np.cumsum(n_routes) - n_routes)[doc], n_routes[doc])
+            token, doc, size = (S.mix(chunk[i] ^ values[r]) >> np.uint64(32)).astype(np.uint32), doc[i], size[i]
+            total = total.astype(np.uint32)
             columns = [id1, id2, shingles.astype(np.uint32), bits, total, new]
             yield from N.spread(token.astype(np.int64) % n_parts, doc, n_parts, columns, [token, np.minimum(size, 65535).astype(np.uint16)])
 
@@ -102,7 +96,7 @@ def post_chunks(df: DataFrame, table: np.ndarray, n_parts: int, coverage: float)
 
 def shared(posted: DataFrame, t: float, n_parts: int, coverage: float) -> DataFrame:
     """a1, a2, b1, b2: pairs of sets, one of a new record, that share at least ``coverage`` of the smaller one's bytes."""
-    kinds = [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, 3), (np.uint32, 1), (np.uint8, 1)]
+    kinds = [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, N.LONGS), (np.uint32, 1), (np.uint8, 1)]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -179,22 +173,13 @@ def shared(posted: DataFrame, t: float, n_parts: int, coverage: float) -> DataFr
     return rows.groupBy("a1", "a2", "b1", "b2").agg(F.sum("bytes").alias("bytes"), F.min("least").alias("least")).where("bytes > 0").drop("bytes", "least")
 
 
-def row_pairs(records: DataFrame, key: str, sets: DataFrame) -> DataFrame:
-    """Pairs of rows of the given pairs of sets, and of equal sets, one of them new, that have a block key in common."""
-    members = N.packed_texts(records.select(key, "is_new", "keys", "body"), "body", 3, [key, "is_new", "keys"]).drop("words")
-    a = members.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col(key).alias("x"), F.col("is_new").alias("nx"), F.col("keys").alias("kx"))
-    b = members.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col(key).alias("y"), F.col("is_new").alias("ny"), F.col("keys").alias("ky"))
-    between = sets.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where("(nx or ny) and arrays_overlap(kx, ky)").select("x", "y")
-    same = a.withColumnsRenamed({"a1": "s1", "a2": "s2"}).join(b.withColumnsRenamed({"b1": "s1", "b2": "s2"}), ["s1", "s2"])
-    return between.unionAll(same.where("x < y and (nx or ny) and arrays_overlap(kx, ky)").select("x", "y"))
-
-
 def equal_hashes(records: DataFrame, key: str) -> DataFrame:
     """Pairs of rows, one of them new, with the same job_id_hash in any letter case."""
     h = records.where("job_id_hash is not null").select(F.lower("job_id_hash").alias("h"), F.col(key).alias("x"), F.col("is_new").alias("nx"))
     fresh = h.where("nx").drop("nx")
     # new rows meet old ones, and later new ones
-    return fresh.join(h.withColumnsRenamed({"x": "y", "nx": "ny"}), "h").where("not ny or x < y").select("x", "y")
+    pairs = fresh.join(h.withColumnsRenamed({"x": "y", "nx": "ny"}), "h").where("not ny or x < y")
+    return pairs.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
 
 def match_batches(records: DataFrame, key: str, t: float = 0.8, coverage: float = COVERAGE) -> DataFrame:
@@ -204,14 +189,17 @@ def match_batches(records: DataFrame, key: str, t: float = 0.8, coverage: float
     nothing; rows without keys match by hash only; exact repeats match like others. No other column is read.
     """
     records = records.select(key, "is_new", "job_id_hash", "body", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
-    held = records.withColumn("routes", F.array_distinct(F.transform("keys", route)))
-    texts = held.where("body is not null and size(keys) > 0")
+    texts = records.where("body is not null")
+    keyed = texts.where("size(keys) > 0")
     table, total = chunk_counts(texts)
-    parts = N.n_partitions(records, total)
-    sets = shared(post_chunks(texts, table, parts, coverage), t, parts, coverage)
-    alike = N.verified(sets, N.packed_texts(texts, "body", 3, []), t, 3)
-    every = row_pairs(texts, key, alike).unionAll(equal_hashes(records, key))
-    return every.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).dropDuplicates()
+    # an entry stands for each route of a record
+    parts = N.n_partitions(records, 3 * total)
+    posted = post_chunks(keyed.withColumn("routes", F.array_distinct(F.transform("keys", route))), table, parts, coverage)
+    alike = N.verified(shared(posted, t, parts, coverage), N.packed_texts(texts, "body", 3, []), t, 3)
+    members = N.packed_texts(keyed.withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k))), "body", 3, [key, "is_new", "keys"]).drop("words")
+    wanted = (F.col("x.is_new") | F.col("y.is_new")) & F.arrays_overlap("x.keys", "y.keys")
+    every = N.expanded(alike, members, key, wanted).unionAll(equal_hashes(records, key))
+    return every.dropDuplicates()
 
 
 class ChunkStore:
