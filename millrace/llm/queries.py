@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm.bpe import encode_corpus
+from millrace.llm import canonical as C
 from millrace.llm.history import match_batches
 from millrace.llm.names import company_pairs
 from millrace.llm.near_duplicates import likeness_text, near_duplicate_rows
@@ -15,6 +16,12 @@ from millrace.operators.packed import KEYS, with_values
 from millrace.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    places, roles = C.place_entries(table(spark, d, "ref_locations")), C.role_entries(table(spark, d, "ref_roles"))
+    fields = {"location": (places, C.PLACE_SHORT, C.PLACE_NOISE, True), "role": (roles, C.ROLE_SHORT, C.ROLE_NOISE)}
+    return C.canonical_values(table(spark, d, "jobs"), "job_row_id", fields)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors(table(spark, d, "jobs"))
 
@@ -51,5 +58,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_corpus(table(spark, d, "documents"), "doc_id", "text", budgets)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}
