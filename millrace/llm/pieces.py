@@ -40,10 +40,10 @@ def boundaries(words: list[str], tokens: np.ndarray) -> tuple[np.ndarray, np.nda
                 run += 1
             breaks = white.replace("\r\n", "\n").replace("\r", "\n").count("\n")
             at.append(k)
-            kinds.append(PARAGRAPH if breaks > 1 else LINE if breaks else SENTENCE if _ends(before) else WORD)
+            kinds.append(PARAGRAPH if breaks > 1 else LINE if breaks else SENTENCE if not before[-1].isalnum() and _ends(before) else WORD)
             k += max(run, 1)
         else:
-            if _wide(before):
+            if before[-1] > "\u2000" and _wide(before):
                 at.append(k)
                 kinds.append(SENTENCE)
             k += 1
@@ -51,16 +51,18 @@ def boundaries(words: list[str], tokens: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, tokens[at], np.array(kinds, np.int64)
 
 
-def depth(bag: list[str | None], places: np.ndarray) -> np.ndarray:
-    """How deep the similarity of neighbouring blocks lies at each place below the peaks on both sides of it. bag: the words, None where one is too short to tell a topic."""
-    if len(places) < 2:
-        return np.zeros(len(places))
-    like = np.empty(len(places))
-    for i, k in enumerate(places):
-        a, b = Counter(bag[max(0, k - BLOCK) : k]), Counter(bag[k : k + BLOCK])
-        a.pop(None, 0), b.pop(None, 0)
-        dot = sum(a[w] * b[w] for w in a.keys() & b.keys())
-        like[i] = dot / math.sqrt(sum(c * c for c in a.values()) * sum(c * c for c in b.values())) if dot else 0.0
+def alike(bag: list[str | None], k: int) -> float:
+    """Cosine of the blocks of words before and after a place. bag: the words, None where one is too short to tell a topic."""
+    a, b = Counter(bag[max(0, k - BLOCK) : k]), Counter(bag[k : k + BLOCK])
+    a.pop(None, 0), b.pop(None, 0)
+    dot = 0
+    for w in a.keys() & b.keys():
+        dot += a[w] * b[w]
+    return dot / math.sqrt(sum([c * c for c in a.values()]) * sum([c * c for c in b.values()])) if dot else 0.0
+
+
+def depth(like: np.ndarray) -> np.ndarray:
+    """How deep each place lies below the peaks on both sides of it."""
     left = np.maximum.accumulate(like)
     right = np.maximum.accumulate(like[::-1])[::-1]
     return left + right - 2 * like
@@ -72,9 +74,20 @@ class Splitter:
     def __init__(self, e: Encoder, words: list[str]):
         self.bytes_of = e.bytes_of
         self.ids = [i for w in words for i in e.words[w]]
+        self.offsets: np.ndarray | None = None
+        self.like: dict[int, float] = {}
         self.words, self.tokens = words, np.concatenate(([0], np.cumsum([len(e.words[w]) for w in words])))
         self.bag: list[str | None] | None = None
 
+    def deepest(self, places: list[int]) -> int:
+        if len(places) == 1:
+            return 0
+        known = self.like
+        for k in places:
+            if k not in known:
+                known[k] = alike(self.bag, k)
+        return int(depth(np.array([known[k] for k in places])).argmax())
+
     def pieces(self, limit: int, overlap: int) -> Iterator[tuple[int, int, int, bytes]]:
         """(first token, end, kind of the end, bytes) of each piece; none for a text within the limit."""
         ids, n = self.ids, len(self.ids)
@@ -83,11 +96,13 @@ class Splitter:
         if self.bag is None:
             self.at, self.pos, self.kinds = boundaries(self.words, self.tokens)
             self.bag = [w.strip().lower() if len(w) > 3 else None for w in self.words]
+            parts = [self.bytes_of[i] for i in ids]
+            self.raw, self.offsets = b"".join(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         at, pos, kinds = self.at, self.pos, self.kinds
         start = 0
         while True:
             if n - start <= limit:
-                yield start, n, TEXT, b"".join(self.bytes_of[i] for i in ids[start:])
+                yield start, n, TEXT, self.raw[self.offsets[start] :]
                 return
             end, kind = 0, CUT
             # the upper half of the window first, then the rest behind the overlap
@@ -96,13 +111,13 @@ class Splitter:
                 if lo < hi:
                     kind = int(kinds[lo:hi].max())
                     places = np.flatnonzero(kinds[lo:hi] == kind) + lo
-                    end = int(pos[places[int(depth(self.bag, at[places]).argmax())]])
+                    end = int(pos[places[self.deepest(at[places].tolist())]])
                     break
             if not end:
                 end = start + limit
                 while end > start + overlap + 1 and self.bytes_of[ids[end]][0] & 0xC0 == 0x80:  # not within a character
                     end -= 1
-            yield start, end, kind, b"".join(self.bytes_of[i] for i in ids[start:end])
+            yield start, end, kind, self.raw[self.offsets[start] : self.offsets[end]]
             start = end - overlap
 
 
