@@ -89,6 +89,7 @@ class Resolver:
         self.sets = {n: n.split() for n in self.of}
         self.heads = {w[0] for w in self.sets.values() if len(w) > 1}
         self.vocabulary = sorted({w for ws in self.sets.values() for w in ws})
+        self.joined = {n.replace(" ", "") for n in self.of if " " in n}
         self.holding: dict[str, list[str]] = {}
         for n, ws in self.sets.items():
             for w in set(ws):
@@ -123,13 +124,13 @@ class Resolver:
             if word in self.holding:
                 got[word] = 0
                 if not self.coined and len(word) < 6:
-                    got |= {v: 1 for v in self.vocabulary if abbreviates(word, v)}
+                    got |= {v: 1 for v in self.vocabulary if v not in self.joined and abbreviates(word, v)}
             elif not (self.coined and self.well_formed(word)):
                 for v in self.vocabulary:
                     k = allowed(v)
                     if abs(len(v) - len(word)) <= k and (d := osa(word, v, k)) <= k:
                         got[v] = d
-                    elif not self.coined and abbreviates(word, v):
+                    elif not self.coined and v not in self.joined and abbreviates(word, v):
                         got[v] = 1
             if len(self.near) > REMEMBERED:
                 self.near.clear()
