@@ -19,5 +19,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return normalise_instants(spark, [("raw_jobs", raw, "raw_id", ["posted_date"]), ("jobs", jobs, "job_row_id", ["date_posted", "valid_through"])], feeds)
 
 
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+_QUOTED_SQL = r"""@(?:[^@\\]|\\.|@@)*@|''(?:[^''\\]|\\.)*''""".replace("@", chr(34))
+_PLAIN_SQL = {True: "[A-Za-z0-9_]+", False: r'''[^,;，；、\t\r\n"''\[\]{}]+'''}
+
+
+def values_sql(column: str, words: bool) -> str:
+    """List of the values of a packed text: quoted spans and runs between delimiters."""
+    found = f"regexp_extract_all(coalesce({column}, ''), '{_QUOTED_SQL}|{_PLAIN_SQL[words]}')"
+    body = r"""case when t[1:1] in ('"', '''') then replace(replace(replace(substr(t, 2, length(t) - 2), '""', '"'), '\"', '"'), '\''', '''') else t end"""
+    trimmed = f"regexp_replace({body}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+    return f"list_filter(list_transform({found}, lambda t: {trimmed}), lambda v: v <> '')"
+
+
+_P1 = " union all ".join(
+    f"select job_row_id, '{f}' as field_name, unnest(range(1, len(l) + 1))::int as item_no, unnest(l) as item_value from (select job_row_id, {values_sql(f, f != 'block_key')} as l from jobs)"
+    for f in JOB_LISTS
+)
+
 QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
-SQL: dict[str, str] = {}
+SQL = {"p1_found": _P1}
