@@ -44,7 +44,9 @@ def jaro_winkler_of(a: str, b: str) -> float:
 
 
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_of(x, y) for x, y in zip(a, b)], dtype="float64")
+    # within a block the same texts meet again and again
+    known = {p: jaro_winkler_of(*p) for p in set(zip(a, b))}
+    return pd.Series([known[p] for p in zip(a, b)], dtype="float64")
 
 
 def jaro_winkler(a: Column | str, b: Column | str) -> Column:
@@ -57,9 +59,10 @@ def description_similarity(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.5).otherwise(jaccard(shingles(a), shingles(b)))
 
 
-def location_similarity(a: Column, b: Column) -> Column:
+def location_similarity(a: Column, b: Column, words: list[Column] | None = None) -> Column:
+    """words: the distinct words of both places, if they are worked out already."""
     x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    words = [F.array_distinct(tokens(location_words(c))) for c in (x, y)]
+    words = words or [F.array_distinct(tokens(location_words(c))) for c in (x, y)]
     return F.when((x == "") & (y == ""), 1.0).when((x == "") | (y == ""), 0.5).when(F.lower(utrim(x)) == F.lower(utrim(y)), 1.0).otherwise(jaccard(*words))
 
 

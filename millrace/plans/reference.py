@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import similarity, text as X, urls as U
-from millrace.operators import blocking, evaluation as E, state
+from millrace.operators import blocking, evaluation as E, packed, state
 from millrace.session import is_blank, table, utrim
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,6 +295,61 @@ def candidate_tiers(spark, d):
     return blocking.candidates(left, right, "id1", "id2", _tier_keys())
 
 
+def _known(c: Column) -> Column:
+    """The trimmed text; null where it is blank."""
+    return F.when(~is_blank(c), utrim(c))
+
+
+def canonical_id(posting: Column, url: Column, hashed: Column) -> Column:
+    """Posting id, else canonical URL, else company and title, else these and the place, else the hash."""
+    title, company = F.col("title"), F.col("company")
+    entity = X.normalize_company(company)
+    by_name = F.when((entity != "") & (F.coalesce(title, F.lit("")) != ""), F.concat(entity, F.lit("|"), X.key_text(title)))
+    by_place = F.when((company != "") & (title != "") & (F.col("location") != ""), F.concat_ws("|", *[X.key_text(F.col(c)) for c in ("company", "title", "location")]))
+    parts = (("posting:", posting), ("url:", url), ("ct:", by_name), ("ct:", by_place), ("hash:", F.coalesce(hashed, X.identity_hash(title, company, F.col("location")))))
+    return F.coalesce(*[F.concat(F.lit(p), c) for p, c in parts])
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Incoming and stored rows (id1, id2) with what they are looked up by; stored ones as stored, incoming ones worked out."""
+    new, held = (packed.with_values(table(spark, d, t), "block_key", packed.KEYS, "_keys") for t in ("incoming_jobs", "jobs"))
+    new = new.withColumns({"_hash": F.lower(_known(F.col("job_id_hash"))), "_url": F.when(~is_blank(F.col("apply_url_direct")), U.canonical_url(F.col("apply_url_direct"))), "_posting": _known(F.col("posting_id"))})
+    new = new.withColumn("_id", F.lower(utrim(canonical_id(F.col("_posting"), F.col("_url"), F.col("_hash"))))).withColumn("_keys", F.when(F.size("_keys") > 0, F.col("_keys")).otherwise(blocking.blocking_keys(new)))
+    held = held.withColumns({"_hash": F.lower(_known(F.col("job_id_hash"))), "_url": _known(F.col("canonical_url")), "_posting": _known(F.col("posting_id")), "_id": F.lower(_known(F.col("canonical_job_id")))})
+    lookup = ["_hash", "_id", "_url", "_posting", "_keys"]
+    return new.select(F.col("job_row_id").alias("id1"), *lookup), held.select(F.col("job_row_id").alias("id2"), *lookup)
+
+
+def _all_tiers() -> list[Column]:
+    """Hash, canonical id, canonical URL or posting id, block keys."""
+    return [F.array("_hash"), F.array("_id"), F.array(F.concat(F.lit("url:"), F.col("_url")), F.concat(F.lit("posting:"), F.col("_posting"))), F.col("_keys")]
+
+
+# no SQL for the block_ queries: block keys stand in packed lists; tests hold them against brute force
+@query()
+def block_candidates(spark, d):
+    """Each pair of an incoming and a stored row that meets in a tier, with the first such tier; no bound on their number."""
+    left, right = _sides(spark, d)
+    return blocking.candidates(left, right, "id1", "id2", _all_tiers())
+
+
+@query()
+def block_pairs(spark, d):
+    """The pairs of block_candidates with their scores; an equal hash scores 1 and is merged, whatever the texts."""
+    fields = tuple(table(spark, d, t).select(F.col("job_row_id").alias(i), *FIELDS) for t, i in (("incoming_jobs", "id1"), ("jobs", "id2")))
+    s = blocking.scored_terms(blocking.met(*_sides(spark, d), _all_tiers(), fields, blocking.terms))
+    same = F.col("tier") == 0
+    score, verdict = F.when(same, 1.0).otherwise(F.round("score", 6)), F.when(same, "auto_merge").otherwise(F.col("verdict"))
+    return s.select("id1", "id2", "tier", F.round("jw_title", 6).alias("title_similarity"), F.round("c_company", 6).alias("company_similarity"), score.alias("score"), verdict.alias("verdict"))
+
+
+@query()
+def block_best(spark, d):
+    """The best of block_pairs for each incoming row, whatever its verdict: an equal hash, else the highest score; of equal ones that of the first tier, then of the smaller id."""
+    top = F.max(F.struct((F.col("tier") == 0).alias("same"), "score", (-F.col("tier")).alias("t"), (-F.col("id2")).alias("m"), "verdict"))
+    return block_pairs(spark, d).groupBy("id1").agg(top.alias("t")).select("id1", (-F.col("t.m")).alias("best_id"), (-F.col("t.t")).alias("tier"), "t.score", "t.verdict")
+
+
 # ---- aggregation, windows, sets ---------------------------------------------------------------------------------
 @query("select r.source_name, coalesce(f.authority, 1) as authority, count(*) as n from raw_jobs r left join feed_sources f on r.source_name = f.source_name group by all")
 def authority_join(spark, d):
