@@ -4,7 +4,8 @@ A name is parsed into the words that make it its own, and its trade. Variants th
 have one key. Misspelt ones meet by a pigeonhole segment join: the joined words of a key are cut into k+1 segments,
 which are looked up among the position-shifted substrings of the others in an inverted index; of two texts within k
 edits one segment stands unchanged. Pairs that meet are verified with a banded edit distance. Short forms (one word
-of two, an initial, no trade) are linked where just one organisation can be meant.
+of two, an initial, no trade) are linked where just one organisation can be meant, misspelt ones too; those that are no
+part of a longer name are organisations of their own.
 
 Every variant then points to the best supported key it is near to, and all that point to one root are one organisation.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -130,11 +131,18 @@ def parsed_names(names: DataFrame, trades: list[str]) -> DataFrame:
     return names.mapInPandas(parse, "company string, form string, words array<string>, trade string, key string")
 
 
-def segment_pairs(texts: DataFrame, k: int = EDITS) -> DataFrame:
-    """x, y (x < y): pairs of the distinct texts (column s) that may lie within k edits, by one common segment near its place."""
+def segment_pairs(texts: DataFrame, k: int | Callable[[int], int] = EDITS, most: int = EDITS) -> DataFrame:
+    """x, y (x < y): pairs of the distinct texts (column s) that may lie within k edits, by one common segment near its place. With a column u, one of the two has it true.
+
+    k: a number, or that for each length of the shorter text, rising with it and ``most`` at most; below 0 for texts that take no part.
+    """
+    if isinstance(k, int):
+        most = k
+    edits = k if callable(k) else lambda n: most
 
     def cuts(n: int) -> list[tuple[int, int]]:
-        return [(i * n // (k + 1), (i + 1) * n // (k + 1)) for i in range(k + 1)]
+        e = edits(n)
+        return [(i * n // (e + 1), (i + 1) * n // (e + 1)) for i in range(e + 1)]
 
     def segments(s: str) -> list[tuple[int, int, str]]:
         n = len(s)
@@ -142,37 +150,60 @@ def segment_pairs(texts: DataFrame, k: int = EDITS) -> DataFrame:
 
     def substrings(s: str) -> list[tuple[int, int, str]]:
         out = set()
-        for n in range(max(1, len(s) - k), len(s) + 1):  # the indexed text is the shorter one
+        for n in range(max(1, len(s) - most), len(s) + 1):  # the indexed text is the shorter one
+            e = edits(n)
+            if len(s) - n > e:
+                continue
             for i, (a, b) in enumerate(cuts(n)):
-                # edits before a segment shift it by k places at most
-                for at in range(max(0, a - k), min(len(s) - (b - a), a + k) + 1):
+                # edits before a segment shift it by so many places at most
+                for at in range(max(0, a - e), min(len(s) - (b - a), a + e) + 1):
                     if b > a:
                         out.add((n, i, s[at : at + b - a]))
         return list(out)
 
     kind = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField("g", T.StringType())]))
-    index = texts.select(F.col("s").alias("x"), F.inline(F.udf(segments, kind)("s")))
-    probe = texts.select(F.col("s").alias("y"), F.inline(F.udf(substrings, kind)("s")))
+    marked = "u" in texts.columns
+    wanted = F.col("ux") | F.col("uy") if marked else F.lit(True)
+    index = texts.select(F.col("s").alias("x"), *[F.col("u").alias("ux")] * marked, F.inline(F.udf(segments, kind)("s")))
+    probe = texts.select(F.col("s").alias("y"), *[F.col("u").alias("uy")] * marked, F.inline(F.udf(substrings, kind)("s")))
     # a segment that thousands of texts hold is split by AQE; Levenshtein distance bounds the other from above by its double
-    met = index.join(probe, ["n", "i", "g"]).where((F.col("x") != F.col("y")) & (F.levenshtein("x", "y", 2 * k) >= 0))
-    near = F.udf(lambda a, b: osa(a, b, k), "int")
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).dropDuplicates().withColumn("d", near("x", "y")).where(F.col("d") <= k)
+    met = index.join(probe, ["n", "i", "g"]).where((F.col("x") != F.col("y")) & wanted & (F.levenshtein("x", "y", 2 * most) >= 0))
+    def distance(a: str, b: str) -> int | None:
+        e = edits(min(len(a), len(b)))
+        d = osa(a, b, e)
+        return d if d <= e else None
 
+    near = F.udf(distance, "int")
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).dropDuplicates().withColumn("d", near("x", "y")).where("d is not null")
 
-def organisations(companies: DataFrame, k: int = EDITS) -> DataFrame:
-    """company, root: each distinct non-blank name as stored, and the organisation it stands for. companies: company and any other columns."""
-    names = companies.where(~is_blank(F.col("company"))).groupBy("company").agg(F.count("*").alias("rows"))
-    named = parsed_names(names.select("company"), _trades(names)).join(names, "company")
-    named = cut(named)
-    # keys of full names, with their support
-    full = named.where("form = 'full'").groupBy("key", "words", "trade").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
-    joined = full.select("key", "trade", "n", "rows", F.explode(F.array_distinct(F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), "")))).alias("s"))
+
+def _either_way(pairs: DataFrame) -> DataFrame:
+    return pairs.select("x", "y", "d").unionAll(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
+
+
+def word_pairs(texts: DataFrame) -> DataFrame:
+    """x, y, d, either way round: misspellings among single words (column s; u as in segment_pairs): one edit from eight letters on, two from twelve on; shorter words one edit apart are mostly different names."""
+    return _either_way(segment_pairs(texts, lambda n: 2 if n >= 12 else 1 if n >= 8 else -1))
+
+
+def _resolved(tree: DataFrame) -> DataFrame:
+    """key, root: each key's last root, from key and the next one; a root is its own."""
+    while True:  # each step halves what is left of a chain, and support rises along it, so it ends
+        up = tree.select(F.col("key").alias("root"), F.col("root").alias("next"))
+        step = cut(tree.join(up, "root", "left").select("key", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        tree = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return tree
+
+
+def _tree(nodes: DataFrame, both: DataFrame) -> DataFrame:
+    """key, root: each key points to the best supported one it is near to, within one trade (or where one states none).
+
+    nodes: key, trade, n, rows and s, one row for each text that a key may be spelled as; both: pairs of near texts, either way.
+    """
     support = F.struct("n", "rows", "key")
-    # 1: misspelt full names, within one trade (or where one states none)
-    pairs = segment_pairs(joined.select("s").distinct(), k)
-    both = pairs.select("x", "y", "d").unionAll(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
-    here = joined.select(F.col("key").alias("from"), F.col("trade").alias("ft"), F.col("s").alias("x"), support.alias("fs"))
-    there = joined.select(F.col("key").alias("to"), F.col("trade").alias("tt"), F.col("s").alias("y"), support.alias("ts"))
+    here = nodes.select(F.col("key").alias("from"), F.col("trade").alias("ft"), F.col("s").alias("x"), support.alias("fs"))
+    there = nodes.select(F.col("key").alias("to"), F.col("trade").alias("tt"), F.col("s").alias("y"), support.alias("ts"))
     same = here.join(there.withColumnRenamed("y", "x"), "x").withColumn("d", F.lit(0))
     near = here.join(both, "x").join(there, "y").select("x", "from", "ft", "fs", "to", "tt", "ts", "d").unionByName(same.select("x", "from", "ft", "fs", "to", "tt", "ts", "d"))
     # a name without trade may only point to one with a trade, and only if one trade is near
@@ -180,24 +211,43 @@ def organisations(companies: DataFrame, k: int = EDITS) -> DataFrame:
     near = near.where(F.col("ft").isNull() & F.col("tt").isNotNull() | (F.col("fs") < F.col("ts")))
     choice = near.groupBy("from").agg(F.min_by("to", F.struct("d", F.struct((-F.col("ts.n")).alias("n"), (-F.col("ts.rows")).alias("r"), "to"))).alias("to"), F.min("d").alias("d"), F.count_distinct(F.when(F.col("ft").isNull(), F.col("tt"))).alias("trades"))
     parent = choice.where("trades <= 1").select(F.col("from").alias("key"), F.col("to").alias("parent"))
-    tree = full.select("key").join(parent, "key", "left").select("key", F.coalesce("parent", "key").alias("root"))
-    for _ in range(4):  # support rises along each chain, which halves with each step
-        up = tree.select(F.col("key").alias("root"), F.col("root").alias("next"))
-        tree = cut(tree.join(up, "root", "left").select("key", F.coalesce("next", "root").alias("root")))
-    roots = full.join(tree, "key").where("key = root").select("root", "words", "trade")
-    # 2: joined names, spelled as one word: the words of one root in either order, perhaps misspelt
-    one = roots.select("root", F.explode(F.array_distinct(F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), "")))).alias("s"))
-    glued = named.where("form = 'joined'").select("company", F.element_at("words", 1).alias("g"))
-    by_glue = glued.join(one, F.col("g") == F.col("s")).select("company", "root")
-    # 3: one word, or an initial and a word, perhaps with a trade
-    by_word = roots.select("root", "trade", "words", F.explode("words").alias("w"))
-    single = named.where("form = 'single'").select("company", "trade", F.element_at("words", 1).alias("w"))
-    by_single = single.join(by_word.withColumnRenamed("trade", "rt"), "w").where("trade is null or trade <=> rt").select("company", "root")
-    initial = named.where("form = 'initial'").select("company", "trade", F.filter("words", lambda w: F.length(w) == 1)[0].alias("letter"), F.filter("words", lambda w: F.length(w) > 1)[0].alias("w"))
-    by_initial = initial.join(by_word.withColumnRenamed("trade", "rt"), "w").where("(trade is null or trade <=> rt) and exists(words, x -> x <> w and startswith(x, letter))").select("company", "root")
-    short = by_glue.unionAll(by_single).unionAll(by_initial).groupBy("company").agg(F.count_distinct("root").alias("n"), F.min("root").alias("root")).where("n = 1").select("company", "root")
+    tree = nodes.select("key").distinct().join(parent, "key", "left").select("key", F.coalesce("parent", "key").alias("root"))
+    return _resolved(cut(tree))
+
+
+def organisations(companies: DataFrame, k: int = EDITS) -> DataFrame:
+    """company, root: each distinct non-blank name as stored, and the organisation it stands for. companies: company and any other columns."""
+    names = companies.where(~is_blank(F.col("company"))).groupBy("company").agg(F.count("*").alias("rows"))
+    named = parsed_names(names.select("company"), _trades(names)).join(names, "company")
+    named = cut(named)
+    # keys of full names, with their support
+    full = named.where("form = 'full'").groupBy("key", "words", "trade").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    glues = F.explode(F.array_distinct(F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), "")))).alias("s")
+    # 1: misspelt full names
+    joined = full.select("key", "trade", "n", "rows", glues)
+    tree = _tree(joined, _either_way(segment_pairs(joined.select("s").distinct(), k)))
+    roots = full.join(tree, "key").where("key = root").select("root", "words", "trade", "n", "rows")
     spelled = named.where("form = 'full'").join(tree, "key").select("company", "root")
-    return spelled.unionAll(short)
+    # 2: short forms: all words of one root joined, in either order; one word, or an initial and a word, perhaps with a trade
+    part = roots.select("root", F.col("trade").alias("rt"), "words", "n", "rows", F.explode("words").alias("s"))
+    targets = part.unionAll(roots.select("root", F.col("trade").alias("rt"), "words", "n", "rows", glues)).dropDuplicates(["root", "s"])
+    # an initial takes its word to look it up, and all it has as its own text
+    own = F.when(F.col("form") == "initial", F.get(F.filter("words", lambda w: F.length(w) > 1), F.lit(0))).otherwise(F.col("words")[0])
+    letter = F.when(F.col("form") == "initial", F.get(F.filter("words", lambda w: F.length(w) == 1), F.lit(0)))
+    brief = named.where("form <> 'full'").groupBy("key", "trade", own.alias("s"), letter.alias("letter"), F.array_join("words", "").alias("text")).agg(F.count("*").alias("bn"), F.sum("rows").alias("brows"))
+    fits = "(trade is null or trade <=> rt) and (letter is null or exists(words, x -> x <> {} and startswith(x, letter)))"
+    exact = brief.join(targets, "s").where(fits.format("s")).groupBy("key").agg(F.count_distinct("root").alias("n"), F.min("root").alias("root"))
+    exact = cut(exact)
+    # 3: what is no part of a full name may be a misspelt part of just one that is better supported, or else an organisation of its own
+    rest = cut(brief.join(exact, "key", "left_anti"))
+    texts = targets.select("s", F.lit(False).alias("u")).unionAll(rest.select("s", F.lit(True))).unionAll(rest.select("text", F.lit(True))).groupBy("s").agg(F.max("u").alias("u"))
+    both = cut(word_pairs(texts))
+    close = rest.join(both, F.col("s") == F.col("x")).join(targets.withColumnRenamed("s", "ts"), F.col("y") == F.col("ts"))
+    close = close.where(fits.format("ts") + " and (bn < n or bn = n and brows < rows)").groupBy("key").agg(F.count_distinct("root").alias("n"), F.min("root").alias("root"))
+    linked = exact.unionAll(close).where("n = 1").select("key", "root")
+    alone = rest.join(linked, "key", "left_anti").select("key", "trade", F.col("bn").alias("n"), F.col("brows").alias("rows"), F.col("text").alias("s"))
+    heads = linked.unionAll(_tree(alone, both))
+    return spelled.unionAll(named.where("form <> 'full'").join(heads, "key").select("company", "root"))
 
 
 def company_pairs(companies: DataFrame, k: int = EDITS) -> DataFrame:

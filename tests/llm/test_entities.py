@@ -115,6 +115,21 @@ def test_company_names(spark):
     assert company_pairs(df.limit(0)).count() == 0
 
 
+def test_company_names_of_one_word(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["ba", "ke", "lo", "mi", "tu", "ra", "zo", "ne"]) for _ in range(4)).capitalize()
+    names = [f"{word()} {word()} {rng.choice(['Optics', 'Marine', 'Logistics'])}" for _ in range(80)]
+    # one word, with or without a trade, misspelt; a full name with its misspelt word and its misspelt glued form; an initial
+    groups = [["Vexaquilon Inc", "VEXAQUILON", "The Vexaquilon", "Vexaqilon Inc."], ["Dwynfarth Logistics", "dwynfarth Logistics, Inc.", "Dwynfarth Logistcs", "Dwynfrath Logistics"], ["Ghostvik Yslanda Marine", "Ghostvik Yslanda Marine Inc", "Gohstvik", "GhostvikYslnda"], ["Q. Hurvanth Optics", "Q Hurvanth Optics Inc"]]
+    df = spark.createDataFrame([(n,) for n in [*names, *itertools.chain(*groups), "Tarvek", "Tarvik"]], "company string")
+    got = {tuple(r) for r in company_pairs(df).collect()}
+    want = {tuple(sorted(p)) for g in groups for p in itertools.combinations(g, 2)}
+    assert want <= got
+    # six letters are too few to be misspelt
+    ours = {n for g in groups for n in g} | {"Tarvek", "Tarvik"}
+    assert {p for p in got if set(p) & ours} == want
+
+
 PLACES = [C.Entry(1, ["Port Abelby"], ["NX", "Northax", "QQ", "Quellonia"]), C.Entry(2, ["Port Abelby"], ["SX", "Southax", "RR", "Rellonia"]), C.Entry(3, ["Corvholm", "The Gull"], ["NX", "Northax", "QQ", "Quellonia"]), C.Entry(4, ["Remote", "Anywhere"], weak=True), C.Entry(5, ["Saint Dørnby"], ["SX", "Southax", "RR", "Rellonia"])]
 ROLES = [C.Entry(1, ["Data Engineer", "ETL Dev"]), C.Entry(2, ["Data Scientist"]), C.Entry(3, ["Sales Manager"])]
 
