@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import canonical as C
 from millrace.llm.history import ChunkStore, match_batches, route
-from millrace.llm.names import company_pairs, osa
+from millrace.llm.names import _resolved, company_pairs, osa
 from millrace.llm.near_duplicates import near_duplicate_rows
 from millrace.llm.survivors import survivors
 
@@ -130,6 +130,11 @@ def test_company_names_of_one_word(spark):
     assert {p for p in got if set(p) & ours} == want
 
 
+def test_long_chains_reach_their_root(spark):
+    chain = spark.createDataFrame([(f"k{i}", f"k{max(i - 1, 0)}") for i in range(41)], "key string, root string")
+    assert {r.root for r in _resolved(chain).collect()} == {"k0"}
+
+
 PLACES = [C.Entry(1, ["Port Abelby"], ["NX", "Northax", "QQ", "Quellonia"]), C.Entry(2, ["Port Abelby"], ["SX", "Southax", "RR", "Rellonia"]), C.Entry(3, ["Corvholm", "The Gull"], ["NX", "Northax", "QQ", "Quellonia"]), C.Entry(4, ["Remote", "Anywhere"], weak=True), C.Entry(5, ["Saint Dørnby"], ["SX", "Southax", "RR", "Rellonia"])]
 ROLES = [C.Entry(1, ["Data Engineer", "ETL Dev"]), C.Entry(2, ["Data Scientist"]), C.Entry(3, ["Sales Manager"])]
 
