@@ -8,6 +8,8 @@ least ``coverage`` of the smaller record are decided by an exact check.
 
 Each record enters the table under its chunks from the rarest on until the rest makes up less than ``coverage`` of its
 bytes: a pair that shares that much shares a chunk that is entered, and phrases that stand in most records are not.
+Alike texts of few words may share no whole chunk. Those of SHORT shingles at most, and what may be alike to them, are
+entered under the prefix of their shingles as well, which loses no pair.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from millrace.llm import near_duplicates as N, shingles as S
 #: One word in DIVISOR ends a chunk.
 DIVISOR = 3
 COVERAGE = 0.1
+#: Texts of so many shingles need not share a chunk, however alike: they meet under single shingles too.
+SHORT = 64
 
 
 def chunks_of(flat: np.ndarray, n_words: np.ndarray, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,7 +35,8 @@ def chunks_of(flat: np.ndarray, n_words: np.ndarray, docs: list[list[bytes]]) ->
     if not len(flat):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(n_words)), n_words)
-    before = np.concatenate(([np.uint64(0)], flat[:-1]))
+    # a text's first word has none before it, so equal texts have equal chunks
+    before = np.where(np.concatenate(([True], doc[1:] != doc[:-1])), np.uint64(0), np.concatenate(([np.uint64(0)], flat[:-1])))
     last = np.concatenate((doc[1:] != doc[:-1], [True]))
     ends = last | (S.mix(flat * np.uint64(0x9E3779B97F4A7C15) + before) % np.uint64(DIVISOR) == 0)
     begin = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
@@ -58,8 +63,20 @@ def chunk_counts(df: DataFrame) -> tuple[np.ndarray, int]:
     return N.counted(df.select("body"), tokens)
 
 
-def post_chunks(df: DataFrame, table: np.ndarray, n_parts: int, coverage: float) -> DataFrame:
-    """part, blob: the entries of each record (body, routes, is_new) in the chunk table."""
+def short_prefixes(h: np.ndarray, doc: np.ndarray, n: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, doc): the first shingles of each set that may be alike to one of SHORT shingles at most, as many as alike sets need to share one.
+
+    h and doc are sorted, so all sets have one order of shingles.
+    """
+    size = np.bincount(doc, minlength=n)
+    pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    prefix = size - np.ceil(t * size - N.EPS).astype(np.int64) + 1
+    use = (pos < prefix[doc]) & (t * size[doc] <= SHORT + N.EPS)
+    return S.mix(h[use] + np.uint64(1)), doc[use]
+
+
+def post_chunks(df: DataFrame, table: np.ndarray, n_parts: int, coverage: float, t: float | None = None) -> DataFrame:
+    """part, blob: the entries of each record (body, routes, is_new) in the chunk table; with t also those of short_prefixes."""
     given = df.sparkSession.sparkContext.broadcast(table)  # a table of fixed width
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,6 +99,9 @@ def post_chunks(df: DataFrame, table: np.ndarray, n_parts: int, coverage: float)
             # a chunk that stands once leads to no other record
             use = (before <= (1 - coverage) * total[doc]) & (df_of > 1)
             chunk, doc, size = chunk[use], doc[use], size[use]
+            if t is not None:
+                token, of = short_prefixes(h, hd, n, t)
+                chunk, doc, size = np.concatenate((chunk, token)), np.concatenate((doc, of)), np.concatenate((size, np.ones(len(of), np.int64)))
             routes = batch.column(batch.schema.get_field_index("routes"))
             n_routes = np.array(pa.compute.fill_null(pa.compute.list_value_length(routes), 0), np.int64)
             values = np.asarray(routes.flatten(), dtype=np.int64).view(np.uint64)
@@ -194,7 +214,7 @@ def match_batches(records: DataFrame, key: str, t: float = 0.8, coverage: float
     table, total = chunk_counts(texts)
     # an entry stands for each route of a record
     parts = N.n_partitions(records, 3 * total)
-    posted = post_chunks(keyed.withColumn("routes", F.array_distinct(F.transform("keys", route))), table, parts, coverage)
+    posted = post_chunks(keyed.withColumn("routes", F.array_distinct(F.transform("keys", route))), table, parts, coverage, t)
     alike = N.verified(shared(posted, t, parts, coverage), N.packed_texts(texts, "body", 3, []), t, 3)
     members = N.packed_texts(keyed.withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k))), "body", 3, [key, "is_new", "keys"]).drop("words")
     wanted = (F.col("x.is_new") | F.col("y.is_new")) & F.arrays_overlap("x.keys", "y.keys")

@@ -5,9 +5,10 @@ import re
 from pyspark.sql import functions as F
 
 from millrace.llm import canonical as C
-from millrace.llm.history import ChunkStore, match_batches, route
+from millrace.llm.history import ChunkStore, chunks_of, match_batches, route
 from millrace.llm.names import _resolved, company_pairs, osa
 from millrace.llm.near_duplicates import near_duplicate_rows
+from millrace.llm.shingles import word_hashes
 from millrace.llm.survivors import survivors
 
 
@@ -61,6 +62,28 @@ def test_batches_against_history(spark):
     assert len(want - set(got)) <= 0.01 * len(want)
 
 
+def test_short_texts_meet_without_a_common_chunk(spark):
+    rng = random.Random(6)
+    base = lambda: [f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 6, 8, 10, 15, 30]))]
+    rows = []
+    for i in range(0, 800, 2):
+        a = base()
+        b = list(a)
+        b[rng.choice([0, len(b) - 1, rng.randrange(len(b))])] = "other"
+        rows += [(i, False, None, " ".join(a), ["k|1"]), (i + 1, True, None, " ".join(b), ["k|1"])]
+    df = spark.createDataFrame(rows, "job_row_id long, is_new boolean, job_id_hash string, body string, keys array<string>")
+    want = {(i, i + 1) for i in range(0, 800, 2) if alike(rows[i][3], rows[i + 1][3], 3, 0.6)}
+    assert len(want) > 200 and {tuple(r) for r in match_batches(df, "job_row_id", 0.6).collect()} == want
+
+
+def test_chunks_do_not_depend_on_the_text_before():
+    words = lambda *texts: chunks_of(*word_hashes(list(texts)))
+    one = set(words("red green blue one two three four five")[0].tolist())
+    for first in ("x", "y z", "some more words stand here"):
+        h, doc, _ = words(first, "red green blue one two three four five")
+        assert set(h[doc == 1].tolist()) == one
+
+
 def test_chunk_store_needs_no_history_texts(spark, tmp_path):
     old = spark.createDataFrame([("the quick brown fox jumps over the lazy dog near the river bank today",)], "body string")
     new = spark.createDataFrame([("the quick brown fox jumps over the lazy dog near the river bank tonight",), ("nothing of that kind stands in here at all, not a word",)], "body string")
