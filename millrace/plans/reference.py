@@ -182,6 +182,12 @@ def html_texts(spark, d):
     return docs.select("doc_id", F.md5(X.html_text(F.col("text"))).alias("text_md5"))
 
 
+@query(f"select doc_id, md5({_trim(f"regexp_replace({_H}, '{WS}+', ' ', 'g')")}) as text_md5 from documents")
+def document_texts(spark, d):
+    """As html_texts, of every document; a null text counts as empty."""
+    return table(spark, d, "documents").select("doc_id", F.md5(X.html_text(F.col("text"))).alias("text_md5"))
+
+
 def _years() -> str:
     low = "lower(coalesce(description, ''))"
     cases = " ".join(f"when contains({low}, '{n}+ year') or contains({low}, '{n} {w}') then '{n}+ {w}'" for n, w in ((5, "years"), (3, "years"), (2, "years"), (1, "year")))
