@@ -1,13 +1,13 @@
 """Problem 6: pairs of records whose shingle sets are alike, without comparing all pairs.
 
-Prefix-tree join. All sets are put in one global order of shingles, rare ones first, by counts over the whole
-collection. Each set enters the tree under every shingle of its prefix (a pair that is alike enough shares one), and
-the tree is spread over partitions by shingle: a set goes once to each partition that holds some of its nodes, packed
-by columns. Within a partition nodes are laid out flat, sorted by shingle and set size; a traversal visits, for each
-set, the sets under the same node that are at most 1/t as large, and prunes by the remaining lengths after the node
+Prefix-filter join (in the place of a prefix tree). All sets are put in one global order of shingles, rare ones first, by
+counts over the whole collection. Each set is listed under every shingle of its prefix (a pair that is alike enough
+shares one); lists are spread over partitions by shingle: a set goes once to each partition that holds some of its
+entries, packed by columns. Within a partition entries are laid out flat, sorted by shingle and set size; each set meets
+those under the same shingle that are at most 1/t as large, and pairs are pruned by the remaining lengths after the entry
 and by parity bitmaps (both bounds are exact: no pair is lost). Candidates are verified on the whole sets.
 
-Equal sets are one node entry; their rows come back through the membership table at the end.
+Equal sets are one entry; their rows come back through the membership table at the end.
 """
 
 from __future__ import annotations
