@@ -3,8 +3,8 @@
 Content-defined chunking: a rolling hash over two words sets the boundaries of chunks, so an edit changes only the
 chunks it touches. The chunk table maps (route, chunk) to records, a route being a block key without its prefix; it is
 spread over partitions like the tree of ``near_duplicates`` and can be kept and appended to (``ChunkStore``). A batch
-meets the table under its own chunks; the bytes of common chunks are summed for each pair, and pairs that share at
-least ``coverage`` of the smaller record are decided by an exact check.
+meets the table under its own chunks; every pair that shares an entered chunk is decided by an exact check. Coverage
+decides no pair, only which chunks are entered. No query uses ``ChunkStore`` so far: p7_found takes the whole history.
 
 Each record enters the table under its chunks from the rarest on until the rest makes up less than ``coverage`` of its
 bytes: a pair that shares that much shares a chunk that is entered, and phrases that stand in most records are not.
@@ -115,7 +115,7 @@ def post_chunks(df: DataFrame, table: np.ndarray, n_parts: int, coverage: float,
 
 
 def shared(posted: DataFrame, t: float, n_parts: int, coverage: float) -> DataFrame:
-    """a1, a2, b1, b2: pairs of sets, one of a new record, that share at least ``coverage`` of the smaller one's bytes."""
+    """a1, a2, b1, b2: pairs of sets, one of a new record, that share an entry of the table; coverage decides none of them."""
     kinds = [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, N.LONGS), (np.uint32, 1), (np.uint8, 1)]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
