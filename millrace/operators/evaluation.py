@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.text import normalize_text
@@ -63,18 +62,20 @@ def sigmoid(c: Column) -> Column:
     return 1 / (1 + F.exp(-c))
 
 
-def platt_fit(df: DataFrame, label: str, score: str, steps: int = 300, rate: float = 0.5, digits: int = 4) -> tuple[float, float]:
+def platt_fit(df: DataFrame, label: str, score: str, steps: int = 300, rate: float = 0.5, digits: int = 6) -> tuple[float, float]:
     """(a, b) of sigmoid(a x + b) by gradient descent on the log loss.
 
-    Scores are clipped to [0, 1] and rounded, so the rows aggregate to at most 10**digits + 1 scores for each label
-    whatever their number; the descent runs over those on the driver.
+    Scores are clipped to [0, 1] and aggregated to distinct (score, label, number); rounding at ``digits`` bounds them to
+    2 * (10**digits + 1) points whatever the number of rows (32 MB at six). The descent runs over those on the driver.
     """
     x = F.round(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)), digits)
-    points = [(r.x, r.y, r.n) for r in df.where(F.col(score).isNotNull()).groupBy(x.alias("x"), F.col(label).alias("y")).agg(F.count("*").alias("n")).collect()]
-    total = max(1, sum(n for _, _, n in points))
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(x.alias("x"), F.col(label).cast("double").alias("y")).agg(F.count("*").cast("double").alias("n")).orderBy("x", "y").collect()
+    points = np.array([(r.x, r.y, r.n) for r in rows], float).reshape(-1, 3)
+    xs, ys, ns = points.T
+    total = max(1.0, float(ns.sum()))
     a, b = 1.0, 0.0
     for _ in range(steps):
-        off = [(n / (1.0 + math.exp(-(a * x + b))) - n * y, x) for x, y, n in points]
-        a -= rate * sum(o * x for o, x in off) / total
-        b -= rate * sum(o for o, _ in off) / total
+        off = ns * (1.0 / (1.0 + np.exp(-(a * xs + b))) - ys)
+        a -= rate * float((off * xs).sum()) / total
+        b -= rate * float(off.sum()) / total
     return a, b

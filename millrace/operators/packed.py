@@ -15,7 +15,12 @@ from millrace.session import SPACES, utrim
 OPEN, CLOSE = "", ""
 
 #: A double-quoted span anywhere; a single-quoted one only where an item can begin and end (else it is an apostrophe).
-QUOTED = r"""(?s)"(?:[^"\\]|\\.|"")*"|(?<![^\s,;|\[{(])'(?:[^'\\]|\\.)*'(?=\s*(?:[,;|\]})]|$))"""
+#: Possessive runs keep the matcher from recursing, so a span may be of any length. A doubled mark belongs to the span
+#: only if another mark follows to close it; where escapes leave none, the first mark that isn't escaped closes.
+QUOTED = (
+    r"""(?s)"[^"\\]*+(?:(?:\\.|""(?=[^"]*+"))[^"\\]*+)*+"|"[^"\\]*+(?:\\.[^"\\]*+)*+\"|"""
+    r"""(?<![^\s,;|\[{(])'[^'\\]*+(?:\\.[^'\\]*+)*+'(?=\s*(?:[,;|\]})]|$))"""
+)
 
 #: Unquoted values are words of letters, digits and "_": whatever else stands between them separates.
 WORDS = rf"(?U)[^\p{{L}}\p{{N}}_{OPEN}{CLOSE}]+"

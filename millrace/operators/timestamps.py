@@ -147,11 +147,11 @@ def resolved_feeds(feeds: DataFrame, raw: DataFrame, default: str = "UTC") -> Da
     """source_name, zone_name, day_first: declared zones, and estimated ones for feeds that declare none."""
     known = feeds.select("source_name", F.when(~is_blank(F.col("zone_name")), F.when(utrim(F.col("zone_name")).isin(*zone_ids()), utrim(F.col("zone_name")))).alias("zone_name"), "day_first").dropDuplicates(["source_name"])
     undeclared = known.where("zone_name is null").select("source_name", "day_first")
-    # candidate zones are those of the other feeds, a table of fixed size; a feed list without gaps costs no pass over raw
-    names = sorted({r[0] for r in known.select("zone_name").distinct().limit(500).collect() if r[0]} | {default})
+    # candidate zones are those of the other feeds, at most as many as the JVM knows; a feed list without gaps costs no pass over raw
+    names = sorted({r[0] for r in known.select("zone_name").distinct().collect() if r[0]} | {default})
     if undeclared.isEmpty():
         return known
-    guessed = estimate_zones(raw.join(F.broadcast(undeclared), "source_name"), "source_name", "posted_date", "fetched_at", "day_first", names, default)
+    guessed = estimate_zones(raw.join(undeclared, "source_name"), "source_name", "posted_date", "fetched_at", "day_first", names, default)
     return known.join(guessed.withColumnRenamed("zone_name", "guess"), "source_name", "left").select("source_name", F.coalesce("zone_name", "guess", F.lit(default)).alias("zone_name"), "day_first")
 
 

@@ -59,20 +59,39 @@ def government_json(df: DataFrame) -> DataFrame:
     return _raw(j, "usajobs", {"salary_min": pay["MinimumRange"], "salary_max": pay["MaximumRange"]}, title=F.col("j.PositionTitle"), company=F.col("j.OrganizationName"), location=F.col("j.PositionLocationDisplay"), description=F.col("j.QualificationSummary"), posted_date=F.col("j.PublicationStartDate"), apply_url=F.coalesce(F.get("j.ApplyURI", F.lit(0)), "j.PositionURI"))
 
 
-def board_json(df: DataFrame) -> DataFrame:
-    """Postings of one employer's board (column ``board``): the company is the board's name in title case."""
-    kind = "struct<jobs: array<struct<id: string, title: string, location: struct<name: string>, offices: array<struct<name: string>>, content: string, updated_at: string, absolute_url: string, departments: array<struct<name: string>>>>>"
-    j = df.select("source_url", "board", F.explode(F.from_json("payload", kind)["jobs"]).alias("j"))
-    offices = F.array_join(F.filter(F.col("j.offices.name"), lambda n: n.isNotNull()), ", ")
-    company = F.initcap(F.regexp_replace("board", "[-_]", " "))
-    return _raw(j, "greenhouse", {"departments": F.when(F.size("j.departments") > 0, F.to_json("j.departments.name"))}, title=F.col("j.title"), company=company, location=F.coalesce(F.nullif("j.location.name", F.lit("")), offices), description=F.col("j.content"), posted_date=F.col("j.updated_at"), apply_url=F.coalesce("j.absolute_url", F.concat("source_url", F.lit("/"), "board", F.lit("#"), "j.id")))
+def board_json(df: DataFrame, site: str = "https://boards.greenhouse.io") -> DataFrame:
+    """Postings of one employer's board (column ``board``): the company is the board's name in title case, the apply URL the board's with the posting's id.
+
+    Departments stand as objects, ids into the body's list, or names.
+    """
+    job = "struct<id: string, title: string, location: struct<name: string>, offices: array<struct<name: string>>, content: string, updated_at: string, absolute_url: string, departments: array<string>>"
+    body = F.from_json("payload", f"struct<departments: array<struct<id: string, name: string>>, jobs: array<{job}>>")
+    j = df.select("source_url", "board", body.alias("b")).select("source_url", "board", F.map_from_entries(F.coalesce("b.departments", F.array().cast("array<struct<id:string,name:string>>"))).alias("held"), F.explode("b.jobs").alias("j"))
+    offices = F.array_join(F.filter(F.col("j.offices.name"), lambda n: n.isNotNull() & (n != "")), ", ")
+
+    def department(d: Column) -> Column:
+        given = F.from_json(d, "struct<id: string, name: string>")
+        known = F.try_element_at(F.col("held"), F.coalesce(given["id"], d))
+        return F.when(d.startswith("{"), F.coalesce(given["name"], known, F.lit(""))).otherwise(F.coalesce(known, F.when(d.rlike(r"^\d+$"), "").otherwise(d)))
+
+    departments = F.when(F.size("j.departments") > 0, F.to_json(F.transform("j.departments", department)))
+    return _raw(
+        j, "greenhouse", {"departments": departments, "job_id": F.col("j.id")}, title=F.col("j.title"), company=F.initcap(F.replace("board", F.lit("-"), F.lit(" "))),
+        location=F.coalesce(F.nullif("j.location.name", F.lit("")), offices), description=F.col("j.content"), posted_date=F.col("j.updated_at"),
+        apply_url=F.concat(F.lit(site + "/"), "board", F.lit("#"), F.coalesce("j.id", F.lit(""))), source_url=F.coalesce("j.absolute_url", F.lit("")),
+    )
 
 
 def posting_json(df: DataFrame) -> DataFrame:
-    """A JSON array of an employer's postings with categories; a missing place means remote."""
-    kind = "array<struct<text: string, hostedUrl: string, createdAt: string, descriptionPlain: string, description: string, categories: struct<location: string, team: string>>>"
+    """A JSON array of an employer's postings with categories; a missing place means remote. The description is the plain text of an object, else empty."""
+    kind = "array<struct<id: string, text: string, hostedUrl: string, createdAt: string, description: string, categories: struct<location: string, commitment: string>>>"
     j = df.select("source_url", "board", F.explode(F.from_json("payload", kind)).alias("j"))
-    return _raw(j, "lever", {"team": F.col("j.categories.team")}, title=F.col("j.text"), company=F.initcap(F.regexp_replace("board", "[-_]", " ")), location=F.coalesce(F.nullif("j.categories.location", F.lit("")), F.lit("Remote")), description=F.coalesce("j.descriptionPlain", "j.description"), posted_date=F.col("j.createdAt"), apply_url=F.col("j.hostedUrl"))
+    url = F.coalesce("j.hostedUrl", F.lit(""))
+    plain = F.from_json("j.description", "struct<plain: string>")["plain"]
+    return _raw(
+        j, "lever", {"job_id": F.col("j.id"), "commitment": F.col("j.categories.commitment")}, title=F.col("j.text"), company=F.initcap(F.replace(F.trim("board"), F.lit("-"), F.lit(" "))),
+        location=F.coalesce(F.nullif("j.categories.location", F.lit("")), F.lit("Remote")), description=F.coalesce(plain, F.lit("")), posted_date=F.col("j.createdAt"), apply_url=url, source_url=url,
+    )
 
 
 def rss_items(spark: SparkSession, path: str, source: str, company_first: bool = False) -> DataFrame:
@@ -170,11 +189,24 @@ def filled(cards: DataFrame, details: DataFrame, overwrite: bool = False) -> Dat
     return cards.join(found, "apply_url", "left").withColumn("description", F.coalesce(*order)).select(*RAW_COLUMNS)
 
 
+# What marks a page as an obstacle, and how far into it is looked.
+BLOCK_MARKERS = ("captcha", "are you a robot", "access denied", "unusual traffic", "verify you are human")
+BLOCK_WINDOW = 2000
+
+
+def is_blocked(status: Column, body: Column) -> Column:
+    """Whether a fetch met an obstacle instead of content."""
+    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, BLOCK_WINDOW))
+    return F.coalesce(status.isin(403, 429), F.lit(False)) | head.rlike("|".join(BLOCK_MARKERS))
+
+
 def outcome(status: Column, body: Column, rows: Column) -> Column:
     """What became of a fetch, from status code, body and number of rows."""
-    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 2000))
-    blocked = (status == 403) | head.rlike("captcha|are you a robot|access denied|unusual traffic")
-    return F.when((status == 429) | head.contains("rate limit"), "rate_limited").when(status == 401, "auth_required").when(status >= 500, "source_down").when(blocked, "blocked").when(rows.isNull(), "parse_failure").when(rows == 0, "empty").otherwise("ok")
+    return (
+        F.when((status == 429) | F.lower(F.coalesce(body, F.lit(""))).contains("rate limit"), "rate_limited")
+        .when(status == 401, "auth_required").when(status >= 500, "source_down").when(is_blocked(status, body), "blocked")
+        .when(rows.isNull(), "parse_failure").when(rows == 0, "empty").otherwise("ok")
+    )
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-from millrace.operators.packed import CLOSE, JOB_LISTS, KEYS, OPEN, explode_packed, explode_texts
+from millrace.operators.packed import CLOSE, JOB_LISTS, KEYS, OPEN, WORDS, explode_packed, explode_texts
 
 WORD_CASES = [
     (None, []),
@@ -39,3 +39,23 @@ def test_explode_numbers_items_and_ignores_other_columns(spark):
     rows = sorted(tuple(r) for r in explode_packed(df, "job_row_id", JOB_LISTS).collect())
     assert rows == [(1, "block_key", 1, "k|a"), (1, "seen_sources", 1, "a"), (1, "seen_sources", 2, "b")]
     assert explode_packed(df.limit(0), "job_row_id", JOB_LISTS).count() == 0
+
+
+def test_long_quoted_spans(spark):
+    mark = '"'
+    rows = [(1, mark + "a" * 1_000_000 + mark + ",b"), (2, mark + "x" + '""' * 100_000 + "y" + mark + ",b"), (3, "'" + r"\'" * 50_000 + "q" + "',b"), (4, mark + "open " * 100_000), (5, mark + r"a\"" * 20_000 + mark + ";b")]
+    df = spark.createDataFrame(rows, "job_row_id long, evidence string").selectExpr("*", "null as seen_sources", "null as block_key")
+    got = {}
+    for r in explode_packed(df.where("job_row_id <> 4"), "job_row_id", {"evidence": WORDS}).collect():
+        got.setdefault(r.job_row_id, []).append(r.item_value)
+    assert got[1] == ["a" * 1_000_000, "b"] and got[2] == ["x" + mark * 100_000 + "y", "b"] and got[3] == ["'" * 50_000 + "q", "b"] and got[5][-1] == "b"
+    assert explode_packed(df.where("job_row_id = 4"), "job_row_id", {"evidence": WORDS}).count() == 100_000
+
+
+def test_doubled_marks_at_the_end(spark):
+    cases = {'"abc""': ["abc"], '"a""b""': ['a"b'], '"a"",""b",c': ['a",""b'.replace('""', '"'), "c"], '""': [], '"" , x': ["x"]}
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "job_row_id long, evidence string")
+    got = {i: [] for i in range(len(cases))}
+    for r in explode_packed(df, "job_row_id", {"evidence": WORDS}).orderBy("job_row_id", "item_no").collect():
+        got[r.job_row_id].append(r.item_value)
+    assert list(got.values()) == list(cases.values())
