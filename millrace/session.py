@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, read back: smaller than a checkpoint, and later steps read just the columns they need."""
+    path = path or f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def utrim(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.trim(c, F.lit(SPACES))
