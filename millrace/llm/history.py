@@ -1,256 +1,308 @@
 """Problem 7: new batches held against all history, without reprocessing the history.
 
-Content-defined chunking: a rolling hash over two words sets the boundaries of chunks, so an edit changes only the
-chunks it touches. The chunk table maps (route, chunk) to records, a route being a block key without its prefix; it is
-spread over partitions like the tree of ``near_duplicates`` and can be kept and appended to (``ChunkStore``). A batch
-meets the table under its own chunks; every pair that shares an entered chunk is decided by an exact check. Coverage
-decides no pair, only which chunks are entered. No query uses ``ChunkStore`` so far: p7_found takes the whole history.
-
-Each record enters the table under its chunks from the rarest on until the rest makes up less than ``coverage`` of its
-bytes: a pair that shares that much shares a chunk that is entered, and phrases that stand in most records are not.
-Alike texts of few words may share no whole chunk. Those of SHORT shingles at most, and what may be alike to them, are
-entered under the prefix of their shingles as well, which loses no pair.
+Content-defined chunking: a hash rolls over three words, and a chunk begins where it meets a condition, so an edit changes
+only the chunks it touches. A chunk is known by the window at its beginning and runs to the next beginning. The
+persistent chunk table maps chunks to records, with the bytes of each; it is bucketed by chunk, and batches are appended
+to it, each to a partition of its own, so an append that is repeated replaces itself. A batch brings its chunks to the
+buckets, where they meet those of all records accepted so far and of the batch itself: no row of the history is
+shuffled, and none of its texts is read or cut again. The chunks and bytes that two records share add up over the
+buckets, and coverage decides which pairs are kept; an exact check of whole texts follows.
+
+Each record enters the table with its rarest chunks, one more than likeness allows it to lose; the order of rarity is
+fixed when the store is made. From the sizes of two records follows how many of the entered chunks alike ones must
+share: the coverage asked for, so deciding by it loses no pair. Records
+with too few chunks to be sure of one that is left (short or repetitive texts) are entered under the prefix of their
+shingles as well, under which all that are alike meet.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from millrace.llm import near_duplicates as N, shingles as S
-
-#: One word in DIVISOR ends a chunk.
-DIVISOR = 3
-COVERAGE = 0.1
-#: Texts of so many shingles need not share a chunk, however alike: they meet under single shingles too.
-SHORT = 64
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from millrace.llm import postings as P, shingles as S
+from millrace.llm.near_duplicates import needed
+from millrace.session import shared_dir
+
+WINDOW = 3
+#: Share of windows that begin a chunk, in eighths.
+BEGINS = 7
+#: Entries beyond the first that alike records are asked to share.
+MORE = 3
+#: Columns of an entry: token, ref (two parts), shingles and chunks of the record, fewest bytes of its entries, place of the chunk in the record's order, bytes of the chunk.
+KINDS = [(np.uint32, 1), (np.uint32, 1), (np.uint8, 1), (np.uint32, 1), (np.uint32, 1), (np.uint16, 1), (np.uint32, 1), (np.uint32, 1)]
+RECORDS = "row_id long, h string, keys array<long>, s1 long, s2 long, ref long, n int, words string, batch_no int"
+#: What an entry for a single shingle covers: enough by itself.
+SURE = 1 << 20
+#: Coverage as one number: chunks in the upper bits, bytes in the lower 40.
+_BYTES = 40
 
 
 def chunks_of(flat: np.ndarray, n_words: np.ndarray, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, doc, bytes) of the distinct chunks of each text."""
-    if not len(flat):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(n_words)), n_words)
-    # a text's first word has none before it, so equal texts have equal chunks
-    before = np.where(np.concatenate(([True], doc[1:] != doc[:-1])), np.uint64(0), np.concatenate(([np.uint64(0)], flat[:-1])))
-    last = np.concatenate((doc[1:] != doc[:-1], [True]))
-    ends = last | (S.mix(flat * np.uint64(0x9E3779B97F4A7C15) + before) % np.uint64(DIVISOR) == 0)
-    begin = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
-    length = np.diff(np.concatenate((begin, [len(flat)])))
-    place = np.arange(len(flat)) - np.repeat(begin, length)
-    h = S.mix(np.add.reduceat(S.mix(flat + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin))
-    size = np.add.reduceat(np.array([len(w) + 1 for d in docs for w in d], np.int64), begin)
-    doc = doc[begin]
-    keep = N.first_of_each(doc, h)
+    """(hash, doc, bytes) of the distinct chunks of each text, sorted by text and hash; of one that occurs twice the first counts."""
+    h, doc, first = S.windows(flat, n_words, WINDOW)
+    length = np.array([len(w) + 1 for d in docs for w in d], np.int64)
+    before = np.concatenate(([0], np.cumsum(length)))
+    begins = h % np.uint64(8) < BEGINS
+    h, doc, first = h[begins], doc[begins], first[begins]
+    ends = np.cumsum(n_words)[doc] if len(doc) else np.zeros(0, np.int64)
+    last = np.append(doc[1:] != doc[:-1], True) if len(doc) else np.zeros(0, bool)
+    stop = np.where(last, ends, np.append(first[1:], 0)) if len(doc) else ends
+    size = before[stop] - before[first]
+    order = np.lexsort((np.arange(len(h)), h, doc))
+    h, doc, size = h[order], doc[order], size[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return h[keep], doc[keep], size[keep]
 
 
-def route(key: Column) -> Column:
-    """Keys that differ only by the prefix of an apply domain lead to the same records."""
-    return F.xxhash64(F.regexp_replace(key, "^apply:", ""))
+def losses(t: float, n: np.ndarray) -> np.ndarray:
+    """Shingles of n that an alike record may lack."""
+    return n - np.ceil(t * n - P.EPS).astype(np.int64)
+
 
+def post_chunks(texts: DataFrame, steps: np.ndarray, n_parts: int, t: float, probe: bool) -> DataFrame:
+    """part, blob: the entries of records (s1, s2, ref, words) in the chunk table. Entries of a hot chunk are spread over blocks; as a ``probe`` they go to all of them."""
+    given = texts.sparkSession.sparkContext.broadcast(steps)  # 16 MB at most
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = given.value
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            ids = list(zip(P.texts_of(batch, "s1"), P.texts_of(batch, "s2")))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            new = [i for i, x in enumerate(ids) if x not in seen and not seen.add(x)]
+            batch = batch.take(pa.array(new, pa.int64()))
+            k = len(new)
+            flat, n_words, docs = S.plain_hashes(P.texts_of(batch, "words"))
+            ref = np.array(P.texts_of(batch, "ref"), np.int64)
+            h, hd = S.shingle_sets(flat, n_words, WINDOW)
+            n = np.bincount(hd, minlength=k)
+            chunk, doc, size = chunks_of(flat, n_words, docs)
+            c = np.bincount(doc, minlength=k)
+            step = P.steps_of(table, chunk)
+            order = np.lexsort((chunk, step, doc))
+            chunk, doc, size, step = chunk[order], doc[order], size[order], step[order]
+            pos = np.arange(len(chunk)) - np.repeat(np.cumsum(c) - c, c)
+            lost = losses(t, n)
+            use = pos <= lost[doc]
+            token, doc, size, pos, blocks = S.mix(chunk[use]), doc[use], size[use], pos[use], P.blocks_of(step[use])
+            least = np.full(k, 65535, np.int64)
+            np.minimum.at(least, doc, size)
+            # too few chunks to be sure of one that is left: single shingles too, in the order of their hashes
+            at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            few = (c <= lost)[hd] & (at <= lost[hd])
+            token = np.concatenate((token, S.mix(h[few] + np.uint64(1))))
+            doc, size, pos = np.concatenate((doc, hd[few])), np.concatenate((size, np.full(few.sum(), SURE))), np.concatenate((pos, at[few]))
+            blocks = np.concatenate((blocks, P.blocks_of(P.steps_of(table, h[few]))))
+            if (blocks > 1).any():
+                if probe:
+                    i, block = P.ranges(np.zeros(len(blocks), np.int64), blocks)
+                    token, doc, size, pos, blocks = token[i], doc[i], size[i], pos[i], blocks[i]
+                else:
+                    block = ref[doc] % blocks
+                token = np.where(blocks > 1, S.mix(token + S.mix(block.astype(np.uint64))), token)
+            part = ((token & np.uint64(0x7FFFFFFF)) % np.uint64(n_parts)).astype(np.int64)
+            token = (token >> np.uint64(32)).astype(np.uint32)
+            columns = [token, *P.refs_packed(ref[doc]), n[doc].astype(np.uint32), c[doc].astype(np.uint32), least[doc].astype(np.uint16), pos.astype(np.uint32), size.astype(np.uint32)]
+            yield from P.spread(part, n_parts, np.argsort(token, kind="stable"), columns)
+
+    return texts.select("ref", "s1", "s2", "words").mapInArrow(post, "part int, blob binary")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """part, blob: the rows of each part as one, each entry once and sorted, so that look-ups need no sorting. A task holds its parts one by one if they come sorted."""
+
+    def merge(blobs: list[bytes]) -> bytes:
+        token, low, high, *rest = (np.concatenate(x) for x in zip(*[P.unpacked(b, KINDS) for b in blobs]))
+        order = np.lexsort((low, high, token))
+        once = np.ones(len(token), bool)
+        a, b, c = token[order], low[order], high[order]
+        once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        order = order[once]
+        return P.packed([x[order] for x in (token, low, high, *rest)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        last = None
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and part != last:
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([last], pa.int32()), "blob": pa.array([merge(held)], pa.binary())})
+                    held = []
+                held.append(blob)
+                last = part
+        if held:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([last], pa.int32()), "blob": pa.array([merge(held)], pa.binary())})
 
-def chunk_counts(df: DataFrame) -> tuple[np.ndarray, int]:
-    """As near_duplicates.shingle_counts, of chunks."""
+    return rows.sortWithinPartitions("part").mapInArrow(run, "part int, blob binary")
 
-    def tokens(batch: pa.RecordBatch) -> np.ndarray:
-        return chunks_of(*S.word_hashes(N._texts(batch, "body")))[0]
 
-    return N.counted(df.select("body"), tokens)
+def _entries(blob: bytes) -> list[np.ndarray]:
+    token, low, high, *rest = P.unpacked(blob, KINDS)
+    return [token, low.astype(np.int64) | high.astype(np.int64) << 32, *[c.astype(np.int64) for c in rest]]
 
 
-def short_prefixes(h: np.ndarray, doc: np.ndarray, n: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, doc): the first shingles of each set that may be alike to one of SHORT shingles at most, as many as alike sets need to share one.
+def shared(batch: pa.Table, held: pa.Table, t: float) -> pa.Table:
+    """a, b, covered, asked of the pairs of a record of the batch and one of the table that meet in a bucket.
 
-    h and doc are sorted, so all sets have one order of shingles.
+    Of two records of n and m shingles that need ``least`` common ones, the first MORE + 1 chunks that they share stand
+    among the first n - least + MORE + 1 of the one and m - least + MORE + 1 of the other: only those count, and so many
+    are asked, or as many as they have in common for certain, if that is less, with the fewest bytes that they may have.
     """
-    size = np.bincount(doc, minlength=n)
-    pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-    prefix = size - np.ceil(t * size - N.EPS).astype(np.int64) + 1
-    use = (pos < prefix[doc]) & (t * size[doc] <= SHORT + N.EPS)
-    return S.mix(h[use] + np.uint64(1)), doc[use]
+    parts: list[np.ndarray] = []
+
+    def merged() -> np.ndarray:
+        rows = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        if not len(rows):
+            return rows
+        new = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
+        return np.column_stack((rows[new, :2], np.add.reduceat(rows[:, 2], new), rows[new, 3]))
+
+    probes = [_entries(b) for b in batch.column("blob").to_pylist()]
+    tx, rx, nx, cx, lx, px, _ = (np.concatenate(c) for c in zip(*probes)) if probes else [np.zeros(0, np.int64)] * 7
+    for blob in held.column("blob").to_pylist() if len(tx) else ():
+        ty, ry, ny, cy, ly, py, sy = _entries(blob)
+        start = np.searchsorted(ty, tx, side="left")
+        counts = np.searchsorted(ty, tx, side="right") - start
+        for lo, hi in P.slices_of(counts):
+            i, y = P.ranges(start[lo:hi], counts[lo:hi])
+            x = i + lo
+            n, m = nx[x], ny[y]
+            least = needed(t, n, m)
+            ok = (rx[x] != ry[y]) & (least <= np.minimum(n, m)) & ((px[x] <= n - least + MORE) & (py[y] <= m - least + MORE) | (sy[y] == SURE))
+            x, y, n, m, least = x[ok], y[ok], n[ok], m[ok], least[ok]
+            sure = sy[y] == SURE
+            common = np.maximum(cx[x] - n, cy[y] - m) + least
+            inside = np.minimum(losses(t, n) - n, losses(t, m) - m) + least + 1
+            chunks = np.maximum(1, np.minimum(np.minimum(common, inside), MORE + 1))
+            need = (chunks << _BYTES) | chunks * np.minimum(lx[x], ly[y])
+            covered = np.where(sure, (SURE << _BYTES) | (SURE << 16), (1 << _BYTES) | np.minimum(sy[y], 65535))
+            parts.append(np.column_stack((np.minimum(rx[x], ry[y]), np.maximum(rx[x], ry[y]), covered, need)))
+            if sum(map(len, parts)) > 4 * P.CHUNK:
+                parts = [merged()]
+    rows = merged()
+    return pa.table({name: pa.array(rows[:, i]) for i, name in enumerate(("a", "b", "covered", "asked"))})
 
 
-def post_chunks(df: DataFrame, table: np.ndarray, n_parts: int, coverage: float, t: float | None = None) -> DataFrame:
-    """part, blob: the entries of each record (body, routes, is_new) in the chunk table; with t also those of short_prefixes."""
-    given = df.sparkSession.sparkContext.broadcast(table)  # a table of fixed width
+class ChunkStore:
+    """What has been accepted so far, under a path: records, chunk table, order of chunks and the pairs found for each batch.
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
+    records: row id, hash, keys and normalised text by batch; chunks: the chunk table, a partition for each batch, bucketed;
+    found: pairs of refs by batch. Everything is written by batch and replaced when a batch is run again.
+    """
 
-        counts = given.value
-        for batch in batches:
-            n = batch.num_rows
-            flat, n_words, docs = S.word_hashes(N._texts(batch, "body"))
-            h, hd = S.shingle_sets(flat, n_words, 3)
-            id1, id2 = S.set_ids(h, hd, n)
-            bits, shingles = S.bitmaps(h, hd, n, N.LONGS), np.bincount(hd, minlength=n)
-            new = np.asarray(batch.column(batch.schema.get_field_index("is_new")).to_numpy(zero_copy_only=False), np.uint8)
-            chunk, doc, size = chunks_of(flat, n_words, docs)
-            df_of = counts[(chunk & np.uint64(N.SKETCH - 1)).astype(np.int64)].astype(np.int64)
-            order = np.lexsort((chunk, df_of, doc))
-            chunk, doc, size, df_of = chunk[order], doc[order], size[order], df_of[order]
-            total = np.bincount(doc, weights=size, minlength=n).astype(np.int64)
-            before = np.cumsum(size) - size - (np.cumsum(total) - total)[doc]
-            # a chunk that stands once leads to no other record
-            use = (before <= (1 - coverage) * total[doc]) & (df_of > 1)
-            chunk, doc, size = chunk[use], doc[use], size[use]
-            if t is not None:
-                token, of = short_prefixes(h, hd, n, t)
-                chunk, doc, size = np.concatenate((chunk, token)), np.concatenate((doc, of)), np.concatenate((size, np.ones(len(of), np.int64)))
-            routes = batch.column(batch.schema.get_field_index("routes"))
-            n_routes = np.array(pa.compute.fill_null(pa.compute.list_value_length(routes), 0), np.int64)
-            values = np.asarray(routes.flatten(), dtype=np.int64).view(np.uint64)
-            i, r = N.ranges((np.cumsum(n_routes) - n_routes)[doc], n_routes[doc])
-            token, doc, size = (S.mix(chunk[i] ^ values[r]) >> np.uint64(32)).astype(np.uint32), doc[i], size[i]
-            total = total.astype(np.uint32)
-            columns = [id1, id2, shingles.astype(np.uint32), bits, total, new]
-            yield from N.spread(token.astype(np.int64) % n_parts, doc, n_parts, columns, [token, np.minimum(size, 65535).astype(np.uint16)])
-
-    return df.select("body", "routes", "is_new").mapInArrow(post, "part int, blob binary")
-
-
-def shared(posted: DataFrame, t: float, n_parts: int, coverage: float) -> DataFrame:
-    """a1, a2, b1, b2: pairs of sets, one of a new record, that share an entry of the table; coverage decides none of them."""
-    kinds = [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, N.LONGS), (np.uint32, 1), (np.uint8, 1)]
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(part, []).append(N._unpack(blob, kinds, [np.uint32, np.uint16]))
-        for part in list(held):
-            yield from look_up(held.pop(part))
-
-    def look_up(blobs: list) -> Iterator[pa.RecordBatch]:
-        id1, id2, n, bits, total, new = (np.concatenate([b[0][i] for b in blobs]) for i in range(6))
-        counts = np.concatenate([b[1] for b in blobs])
-        token, size = (np.concatenate([b[2][i] for b in blobs]) for i in range(2))
-        # records with the same set are one entry under a chunk, and a new one stands for both
-        order = np.lexsort((id2, id1))
-        start = np.concatenate(([True], (id1[order][1:] != id1[order][:-1]) | (id2[order][1:] != id2[order][:-1])))
-        of = np.empty(len(id1), np.int64)
-        of[order] = np.cumsum(start) - 1
-        head = order[start]
-        id1, id2, n, bits, total = id1[head], id2[head], n[head].astype(np.int64), bits[head], total[head].astype(np.int64)
-        doc, fresh = np.repeat(of, counts), np.repeat(new, counts)
-        order = np.lexsort((1 - fresh, doc, token))
-        token, size, doc, fresh = token[order], size[order].astype(np.int64), doc[order], fresh[order]
-        one = np.ones(len(token), bool)
-        one[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-        token, size, doc, fresh = token[one], size[one], doc[one], fresh[one]
-        order = np.lexsort((1 - fresh, token))
-        token, size, doc, fresh = token[order], size[order], doc[order], fresh[order]
-        if len(token) < 2:
-            return
-        end = np.searchsorted(token, token, side="right")
-        start = np.arange(len(token)) + 1
-        count = np.where(fresh > 0, end - start, 0)
-        tail = np.cumsum(count)
-        keys: list[np.ndarray] = []
-        sums: list[np.ndarray] = []
-
-        def merge() -> None:
-            k, w = np.concatenate(keys), np.concatenate(sums)
-            u, back = np.unique(k, return_inverse=True)
-            keys[:], sums[:] = [u], [np.bincount(back, weights=w).astype(np.int64)]
-
-        lo = 0
-        while lo < len(count):
-            hi = max(lo + 1, int(np.searchsorted(tail, (tail[lo - 1] if lo else 0) + N._CHUNK, side="right")))
-            i, y = N.ranges(start[lo:hi], count[lo:hi])
-            x = i + lo
-            dx, dy = doc[x], doc[y]
-            least = np.ceil(t / (1 + t) * (n[dx] + n[dy]) - N.EPS).astype(np.int64)
-            ok = (least <= np.minimum(n[dx], n[dy])) & (dx != dy)
-            x, dx, dy, least = x[ok], dx[ok], dy[ok], least[ok]
-            apart = np.zeros(len(dx), np.int64)
-            for k in range(bits.shape[1]):
-                apart += np.bitwise_count(bits[dx, k] ^ bits[dy, k])
-            ok = apart <= n[dx] + n[dy] - 2 * least
-            keys.append(np.minimum(dx[ok], dy[ok]) * len(id1) + np.maximum(dx[ok], dy[ok]))
-            sums.append(size[x[ok]])
-            if sum(map(len, keys)) > 4 * N._CHUNK:
-                merge()
-            lo = hi
-        if not keys:
-            return
-        merge()
-        dx, dy = keys[0] // len(id1), keys[0] % len(id1)
-        least_bytes = np.minimum(total[dx], total[dy])
-        swap = (id1[dx] > id1[dy]) | ((id1[dx] == id1[dy]) & (id2[dx] > id2[dy]))
-        dx, dy = np.where(swap, dy, dx), np.where(swap, dx, dy)
-        for k in range(0, len(dx), 100_000):
-            x, y = dx[k : k + 100_000], dy[k : k + 100_000]
-            yield pa.RecordBatch.from_pydict({"a1": id1[x], "a2": id2[x], "b1": id1[y], "b2": id2[y], "bytes": sums[0][k : k + 100_000], "least": least_bytes[k : k + 100_000]})
-
-    rows = posted.repartition(n_parts, "part").mapInArrow(meet, "a1 long, a2 long, b1 long, b2 long, bytes long, least long")
-    # what the rare part of a record shares counts; its common phrases aren't in the table
-    return rows.groupBy("a1", "a2", "b1", "b2").agg(F.sum("bytes").alias("bytes"), F.min("least").alias("least")).where("bytes > 0").drop("bytes", "least")
-
-
-def equal_hashes(records: DataFrame, key: str) -> DataFrame:
-    """Pairs of rows, one of them new, with the same job_id_hash in any letter case."""
-    h = records.where("job_id_hash is not null").select(F.lower("job_id_hash").alias("h"), F.col(key).alias("x"), F.col("is_new").alias("nx"))
+    def __init__(self, spark: SparkSession, path: str, t: float = 0.6):
+        self.spark, self.path, self.t = spark, path, t
+        self.table = f"chunks_{uuid.uuid4().hex}"
+        self.steps: np.ndarray | None = None
+        self.parts = 0
+
+    def _opened(self) -> None:
+        """Read the order of chunks and register the table; a store that was never begun raises."""
+        if self.steps is None:
+            row = self.spark.read.parquet(f"{self.path}/order").first()
+            note = json.loads(row.note)
+            assert note["t"] == self.t, "the store was made for another likeness"
+            self.steps, self.parts = np.frombuffer(row.steps, np.uint8), note["parts"]
+            self.spark.sql(f"create table {self.table} (part int, blob binary, batch_no int) using parquet partitioned by (batch_no) clustered by (part) into {self.parts} buckets location '{self.path}/chunks'")
+
+    def land(self, records: DataFrame, key: str) -> None:
+        """Normalise records (key, batch_no, job_id_hash, body, keys) and keep them by batch; nothing is accepted yet."""
+        hashed = F.transform(F.coalesce("keys", F.array().cast("array<string>")), lambda k: F.xxhash64(k))
+        rows = records.select(F.col(key).cast("long").alias("row_id"), F.col("batch_no").cast("int").alias("batch_no"), F.lower("job_id_hash").alias("h"), hashed.alias("keys"), "body")
+        rows = P.prepared_all(rows, "body", WINDOW, ["row_id", "batch_no", "h", "keys"])
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("batch_no").parquet(f"{self.path}/records")
+
+    def records(self, batch_no: int | None = None) -> DataFrame:
+        rows = self.spark.read.schema(RECORDS).parquet(f"{self.path}/records")
+        return rows if batch_no is None else rows.where(F.col("batch_no") == batch_no)
+
+    def texts(self, batch_no: int | None = None) -> DataFrame:
+        """Records with a text that can meet others: words and a key."""
+        return self.records(batch_no).where("words is not null and size(keys) > 0")
+
+    def begin(self, batch_no: int = 0) -> None:
+        """Fix the order of chunks and the number of buckets by a first batch."""
+        texts = self.texts(batch_no)
+        total = texts.agg(F.sum("n")).first()[0] or 0
+
+        def tokens(batch: pa.RecordBatch) -> np.ndarray:
+            return S.shingle_sets(*S.plain_hashes(P.texts_of(batch, "words"))[:2], WINDOW)[0]
+
+        steps = P.counted(texts.select("words"), tokens, total)
+        # the first batch is part of a history that grows
+        note = {"t": self.t, "parts": P.n_partitions(texts, int(2 * total * (1 - self.t)))}
+        self.spark.createDataFrame([(bytearray(steps.tobytes()), json.dumps(note))], "steps binary, note string").write.mode("overwrite").parquet(f"{self.path}/order")
+        self.steps = None
+
+    def append(self, batch_no: int) -> None:
+        """Accept a landed batch: add its entries to the chunk table."""
+        self._opened()
+        rows = settled(post_chunks(self.texts(batch_no), self.steps, self.parts, self.t, probe=False).repartition(self.parts, "part"))
+        # overwriting the one partition makes a repeated append harmless
+        self.spark.sql(f"insert overwrite table {self.table} partition (batch_no = {batch_no}) select part, blob from {{rows}}", rows=rows)
+        self.spark.catalog.refreshTable(self.table)
+
+    def match(self, batch_no: int) -> None:
+        """Find the pairs of an accepted batch with all records accepted up to it that cover each other enough."""
+        self._opened()
+        probe = post_chunks(self.texts(batch_no), self.steps, self.parts, self.t, probe=True)
+        held = self.spark.table(self.table).where(F.col("batch_no") <= batch_no).select("part", "blob")
+        t = self.t
+        met = probe.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(lambda x, y: shared(x, y, t), "a long, b long, covered long, asked long")
+        sums = met.groupBy("a", "b").agg(F.sum("covered").alias("covered"), F.max("asked").alias("asked"))
+        low = F.lit((1 << _BYTES) - 1)
+        enough = (F.shiftright("covered", _BYTES) >= F.shiftright("asked", _BYTES)) & (F.col("covered").bitwiseAND(low) >= F.col("asked").bitwiseAND(low))
+        sums.where(enough).select("a", "b").write.mode("overwrite").parquet(f"{self.path}/found/batch_no={batch_no}")
+
+    def batches(self) -> list[int]:
+        """Numbers of the batches that have landed: one for each delivery."""
+        return sorted(r[0] for r in self.records().select("batch_no").distinct().collect())
+
+    def pairs(self, batches: list[int]) -> DataFrame:
+        """row_id_a, row_id_b: pairs found for these batches that the check of whole texts confirms and that share a key, and those of equal hashes."""
+        found = self.spark.read.schema("a long, b long, batch_no int").parquet(f"{self.path}/found").where(F.col("batch_no").isin(batches)).select("a", "b").distinct() if batches else self.spark.createDataFrame([], "a long, b long")
+        texts = self.texts()
+        alike = P.verified(found, texts.select("ref", "s1", "s2", "words"), self.t, WINDOW)
+        new = F.col("batch_no").isin(batches)
+        members = texts.select("s1", "s2", "row_id", new.alias("is_new"), "keys")
+        wanted = (F.col("x.is_new") | F.col("y.is_new")) & F.arrays_overlap("x.keys", "y.keys")
+        every = P.expanded(alike, members, "row_id", wanted).unionAll(equal_hashes(self.records().select("row_id", "h", new.alias("is_new"))))
+        return every.dropDuplicates()
+
+
+def equal_hashes(records: DataFrame) -> DataFrame:
+    """row_id_a, row_id_b: pairs of rows (row_id, h, is_new), one of them new, with the same hash; a hash that very many rows hold is split by AQE."""
+    h = records.where("h is not null").select("h", F.col("row_id").alias("x"), F.col("is_new").alias("nx"))
     fresh = h.where("nx").drop("nx")
     # new rows meet old ones, and later new ones
     pairs = fresh.join(h.withColumnsRenamed({"x": "y", "nx": "ny"}), "h").where("not ny or x < y")
-    return pairs.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+    return pairs.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 
 
-def match_batches(records: DataFrame, key: str, t: float = 0.8, coverage: float = COVERAGE) -> DataFrame:
-    """<key>_a, <key>_b: pairs of rows, one of them new, with equal job_id_hash, or alike texts and a common block key.
+def match_batches(records: DataFrame, key: str, t: float = 0.6, path: str | None = None) -> DataFrame:
+    """<key>_a, <key>_b: pairs of rows, one of them of a batch above 0, with equal job_id_hash, or alike texts and a common block key.
 
-    records: key, is_new, job_id_hash, body (null: the text takes no part), keys (array of strings). Null hashes match
-    nothing; rows without keys match by hash only; exact repeats match like others. No other column is read.
+    records: key, batch_no (0: the history that is there already), job_id_hash, body (null: the text takes no part), keys
+    (array of strings). The history makes the store, then each batch is appended and matched in turn. Null hashes match
+    nothing; rows without keys match by hash only; exact repeats match like others; rows without batch number form the
+    last batch. No other column is read.
     """
-    records = records.select(key, "is_new", "job_id_hash", "body", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
-    texts = records.where("body is not null")
-    keyed = texts.where("size(keys) > 0")
-    table, total = chunk_counts(texts)
-    # an entry stands for each route of a record
-    parts = N.n_partitions(records, 3 * total)
-    posted = post_chunks(keyed.withColumn("routes", F.array_distinct(F.transform("keys", route))), table, parts, coverage, t)
-    alike = N.verified(shared(posted, t, parts, coverage), N.packed_texts(texts, "body", 3, []), t, 3)
-    members = N.packed_texts(keyed.withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k))), "body", 3, [key, "is_new", "keys"]).drop("words")
-    wanted = (F.col("x.is_new") | F.col("y.is_new")) & F.arrays_overlap("x.keys", "y.keys")
-    every = N.expanded(alike, members, key, wanted).unionAll(equal_hashes(records, key))
-    return every.dropDuplicates()
-
-
-class ChunkStore:
-    """The chunk table of everything accepted so far, kept under a path; batches are matched against it and appended.
-
-    Only the batch is chunked: the table's packed entries are read as they were written. The counts that order chunks
-    are those of the first append, so entries of different times agree on the order; they change no result.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, n_parts: int = 64, coverage: float = COVERAGE):
-        self.spark, self.path, self.n_parts, self.coverage = spark, path, n_parts, coverage
-
-    def _counts(self, batch: DataFrame) -> np.ndarray:
-        try:
-            row = self.spark.read.parquet(f"{self.path}/counts").first()
-            return np.frombuffer(row.counts, np.uint32)
-        except Exception:
-            table, _ = chunk_counts(batch)
-            # later batches may repeat what stands once now
-            table = np.maximum(table, 2)
-            self.spark.createDataFrame([(bytearray(table.tobytes()), json.dumps({"parts": self.n_parts}))], "counts binary, note string").write.parquet(f"{self.path}/counts")
-            return table
-
-    def append(self, batch: DataFrame) -> None:
-        """Add accepted records (body, routes) to the table."""
-        old = batch.withColumn("is_new", F.lit(False))
-        post_chunks(old, self._counts(old), self.n_parts, self.coverage).write.mode("append").parquet(f"{self.path}/chunks")
-
-    def match(self, batch: DataFrame, t: float = 0.8) -> DataFrame:
-        """a1, a2, b1, b2: pairs of sets that one of the batch's records and one of the table's or the batch's may form."""
-        fresh = batch.withColumn("is_new", F.lit(True))
-        posted = post_chunks(fresh, self._counts(fresh), self.n_parts, self.coverage)
-        held = self.spark.read.parquet(f"{self.path}/chunks")
-        return shared(held.unionByName(posted), t, self.n_parts, self.coverage)
+    spark = records.sparkSession
+    store = ChunkStore(spark, path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", t)
+    store.land(records.withColumn("batch_no", F.coalesce("batch_no", F.lit(2**31 - 1))), key)
+    numbers = store.batches()
+    store.begin(0)
+    store.append(0)
+    for b in (x for x in numbers if x):
+        store.append(b)
+        store.match(b)
+    return store.pairs([x for x in numbers if x]).withColumnsRenamed({"row_id_a": f"{key}_a", "row_id_b": f"{key}_b"})

@@ -1,37 +1,36 @@
 """Problem 6: pairs of records whose shingle sets are alike, without comparing all pairs.
 
-Prefix-filter join (in the place of a prefix tree). All sets are put in one global order of shingles, rare ones first, by
-counts over the whole collection. Each set is listed under every shingle of its prefix (a pair that is alike enough
-shares one); lists are spread over partitions by shingle: a set goes once to each partition that holds some of its
-entries, packed by columns. Within a partition entries are laid out flat, sorted by shingle and set size; each set meets
-those under the same shingle that are at most 1/t as large, and pairs are pruned by the remaining lengths after the entry
-and by parity bitmaps (both bounds are exact: no pair is lost). Candidates are verified on the whole sets.
-
-Equal sets are one entry; their rows come back through the membership table at the end.
+Prefix-tree join. All sets are put in one global order of shingles, rare ones first, by counts over the whole
+collection. A set enters the tree below each shingle of its prefix (a pair that is alike enough shares one there), with
+the shingles that follow it as its path. Subtrees are spread over partitions by their root shingle; one that too many
+sets enter is cut in blocks that meet in pairs. Within a partition the tree is laid out as flat levels: nodes keep the
+range of set sizes and the most that remains below them. Pairs of nodes are walked from the root down, so what sets with
+one path share is worked out once for all of them, and a pair of subtrees is cut as soon as the overlap so far and the
+remaining lengths can't reach what the smallest sets below need. Pairs of sets that are left pass the same bound with
+their own lengths and a bound by parity bitmaps; all bounds are exact, so no pair is lost. Candidates are then
+verified on whole texts.
+
+Equal sets are one candidate; their rows come back through the membership table at the end.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm import shingles as S
-from millrace.session import cut, is_blank
+from millrace.llm import postings as P, shingles as S
+from millrace.session import is_blank, written
 
-EPS = 1e-9
-#: Width of the table of counts (power of two): 4 bytes each, the same size for any input.
-SKETCH = 1 << 20
-#: Postings of one shingle that are compared in one task; longer lists are cut in blocks that meet in pairs.
-BLOCK = 4096
-#: Postings that one partition should hold.
-PER_PARTITION = 2_000_000
-#: Longs of a bitmap.
-LONGS = 4
-_CHUNK = 1 << 20
+#: 32-bit lanes of a bitmap.
+LANES = 5
+#: Code of a missing shingle on a path.
+END = 0xFFFF
+#: Columns of a posting: token, ref (two parts), size of the set, place of the token in it, path, bitmap.
+KINDS = [(np.uint32, 1), (np.uint32, 1), (np.uint8, 1), (np.uint32, 1), (np.uint32, 1), (np.uint16, 1), (np.uint16, 1), (np.uint32, LANES)]
+_SEEN = 1_000_000
 
 
 def likeness_text(title: Column, description: Column) -> Column:
@@ -39,279 +38,197 @@ def likeness_text(title: Column, description: Column) -> Column:
     return F.when(~is_blank(description), F.concat(F.coalesce(title, F.lit("")), F.lit(" "), description))
 
 
-def _texts(batch: pa.RecordBatch, column: str) -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(column)).to_pylist()
+def needed(t: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Common shingles that sets of these sizes need."""
+    return np.ceil(t / (1 + t) * (x + y) - P.EPS).astype(np.int64)
 
 
-def counted(df: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[np.ndarray, int]:
-    """How often each token occurs, in a table of fixed width addressed by hash (never less than the true count), and their sum.
-
-    Each task sums its rows in one table, tasks meet in an aggregation by block, and only the summed table, whose size
-    doesn't depend on the data, reaches the driver.
-    """
-    blocks = 64
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            total += np.bincount((tokens(batch) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        if total.any():
-            parts = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(blocks, -1)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = np.frombuffer(c, np.uint32)
-                # saturating, so a count never wraps round to a small one
-                sums[b] = np.minimum(sums.get(b, np.zeros(len(c), np.int64)) + c, 2**32 - 1)
-        if sums:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": pa.array([s.astype(np.uint32).tobytes() for s in sums.values()], pa.binary())})
-
-    schema = "block int, counts binary"
-    rows = df.mapInArrow(count, schema).repartition(16, "block").mapInArrow(add, schema).collect()
-    table = np.zeros((blocks, SKETCH // blocks), np.uint32)
-    for r in rows:
-        table[r.block] = np.frombuffer(r.counts, np.uint32)
-    return table.reshape(-1), int(table.sum(dtype=np.int64))
-
-
-def shingle_counts(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, int]:
-    """How many rows hold each shingle."""
-
+def shingle_counts(texts: DataFrame, width: int, total: int) -> np.ndarray:
     def tokens(batch: pa.RecordBatch) -> np.ndarray:
-        flat, n, _ = S.word_hashes(_texts(batch, text))
+        flat, n, _ = S.plain_hashes(P.texts_of(batch, "words"))
         return S.shingle_sets(flat, n, width)[0]
 
-    return counted(df.select(text), tokens)
-
-
-def _pack(part: int, docs: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, postings: list[np.ndarray]) -> bytes:
-    head = np.array([len(docs), int(counts.sum())], np.int64)
-    return b"".join(x.tobytes() for x in (head, *(c[docs] for c in columns), counts.astype(np.uint32), *postings))
-
-
-def _unpack(blob: bytes, columns: list[tuple[type, int]], postings: list[type]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    n, m = np.frombuffer(blob, np.int64, 2)
-    at, out = 16, []
-    for kind, width in columns:
-        out.append(np.frombuffer(blob, kind, n * width, at).reshape((n, width) if width > 1 else n))
-        at += out[-1].nbytes
-    counts = np.frombuffer(blob, np.uint32, n, at)
-    at += counts.nbytes
-    rest = []
-    for kind in postings:
-        rest.append(np.frombuffer(blob, kind, m, at))
-        at += rest[-1].nbytes
-    return out, counts, rest
-
-
-def spread(parts: np.ndarray, doc: np.ndarray, n_parts: int, columns: list[np.ndarray], postings: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Postings grouped by partition, each with the columns of its documents once: one packed row per partition."""
-    order = np.lexsort((doc, parts))
-    parts, doc = parts[order], doc[order]
-    postings = [p[order] for p in postings]
-    edges = np.searchsorted(parts, np.arange(n_parts + 1))
-    keys, blobs = [], []
-    for p in range(n_parts):
-        a, b = edges[p], edges[p + 1]
-        if a < b:
-            docs, counts = np.unique(doc[a:b], return_counts=True)
-            keys.append(p)
-            blobs.append(_pack(p, docs, columns, counts, [x[a:b] for x in postings]))
-    if keys:
-        yield pa.RecordBatch.from_pydict({"part": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-
-def first_of_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Positions of the first occurrence of each (a, b)."""
-    order = np.lexsort((b, a))
-    keep = np.ones(len(order), bool)
-    keep[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    return np.sort(order[keep])
-
-
-def ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each i, counts[i] rows (i, starts[i] + 0, 1, ...)."""
-    i = np.repeat(np.arange(len(starts)), counts)
-    return i, np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[i]
-
-
-def post_sets(df: DataFrame, text: str, width: int, t: float, table: np.ndarray, total: int, n_parts: int) -> DataFrame:
-    """part, blob: the prefix of each set, spread over partitions by shingle."""
-    given = df.sparkSession.sparkContext.broadcast(table)  # SKETCH counts, whatever the size of df
-    hot = max(BLOCK, 64 * (total // SKETCH))
+    return P.counted(texts.select("words"), tokens, total)
+
+
+def post_sets(texts: DataFrame, width: int, t: float, table: np.ndarray, n_parts: int) -> DataFrame:
+    """part, blob: the entries of each set of texts (ref, words), spread over partitions by their root shingle. A posting takes the same bytes whatever n_parts."""
+    given = texts.sparkSession.sparkContext.broadcast(table)  # 16 MB at most
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = given.value
+        steps = given.value
+        seen: set[tuple[int, int]] = set()  # sets that this task has entered: copies of one text are entered once
         for batch in batches:
-            texts = _texts(batch, text)
-            flat, n_words, _ = S.word_hashes(texts)
+            ids = list(zip(P.texts_of(batch, "s1"), P.texts_of(batch, "s2")))
+            if len(seen) > _SEEN:
+                seen.clear()
+            new = [i for i, x in enumerate(ids) if x not in seen and not seen.add(x)]
+            batch = batch.take(pa.array(new, pa.int64()))
+            n = len(new)
+            flat, n_words, _ = S.plain_hashes(P.texts_of(batch, "words"))
+            ref = np.array(P.texts_of(batch, "ref"), np.int64)
             h, doc = S.shingle_sets(flat, n_words, width)
-            size = np.bincount(doc, minlength=len(texts))
-            id1, id2 = S.set_ids(h, doc, len(texts))
-            once = np.zeros(len(texts), bool)
-            once[first_of_each(id1, id2)] = True
-            bits = S.bitmaps(h, doc, len(texts), LONGS)
-            df_of = counts[(h & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
-            order = np.lexsort((h, df_of, doc))
-            h, doc, df_of = h[order], doc[order], df_of[order]
+            size = np.bincount(doc, minlength=n)
+            bits = S.bitmaps(h, doc, n, LANES)
+            step = P.steps_of(steps, h)
+            order = np.lexsort((h, step, doc))
+            h, doc, step = h[order], doc[order], step[order]
             pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            prefix = size - np.ceil(t * size - EPS).astype(np.int64) + 1
+            # codes keep the global order; equal ones may stand for different shingles
+            code = np.append((step.astype(np.uint16) << np.uint16(8)) | (h >> np.uint64(56)).astype(np.uint16), [END, END]).astype(np.uint16)
+            own = np.append(doc, [-1, -1])
+            path = [np.where(own[k : len(h) + k] == doc, code[k : len(h) + k], END).astype(np.uint16) for k in (1, 2)]
+            prefix = size - np.ceil(t * size - P.EPS).astype(np.int64) + 1
             # a shingle that one row holds leads to no other
-            use = (pos < prefix[doc]) & once[doc] & (df_of > 1)
-            h, doc, df_of, pos = h[use], doc[use], df_of[use], pos[use]
-            token = (h >> np.uint64(32)).astype(np.uint32)
-            blocks = np.where(df_of > hot, np.minimum((df_of + BLOCK - 1) // BLOCK, 256), 1)
+            use = (pos < prefix[doc]) & (step > 0)
+            h, doc, pos, path, blocks = h[use], doc[use], pos[use], [p[use] for p in path], P.blocks_of(step[use])
+            token = S.mix(h)
             if (blocks > 1).any():
-                own = (id1.view(np.uint64)[doc] % blocks.astype(np.uint64)).astype(np.int64)
-                i, other = ranges(np.zeros(len(blocks), np.int64), blocks)
-                low, high = np.minimum(own[i], other), np.maximum(own[i], other)
-                cell = (low * 256 + high).astype(np.uint64)
-                token = np.where(blocks[i] > 1, (S.mix(h[i] + cell * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32), token[i])
-                doc, pos = doc[i], pos[i]
-            yield from spread(token.astype(np.int64) % n_parts, doc, n_parts, [id1, id2, size.astype(np.uint32), bits], [token, pos.astype(np.uint32)])
+                mine = (ref[doc] % blocks).astype(np.int64)
+                i, other = P.ranges(np.zeros(len(blocks), np.int64), blocks)
+                low, high = np.minimum(mine[i], other).astype(np.uint64), np.maximum(mine[i], other).astype(np.uint64)
+                token = np.where(blocks[i] > 1, S.mix(token[i] + S.mix((low << np.uint64(32)) | high)), token[i])
+                doc, pos, path = doc[i], pos[i], [p[i] for p in path]
+            part, token = ((token & np.uint64(0x7FFFFFFF)) % np.uint64(n_parts)).astype(np.int64), (token >> np.uint64(32)).astype(np.uint32)
+            columns = [token, *P.refs_packed(ref[doc]), size[doc].astype(np.uint32), pos.astype(np.uint32), *path, bits[doc]]
+            yield from P.spread(part, n_parts, np.argsort(token, kind="stable"), columns)
 
-    return df.select(text).mapInArrow(post, "part int, blob binary")
+    return texts.select("ref", "s1", "s2", "words").mapInArrow(post, "part int, blob binary")
 
 
-def candidates(posted: DataFrame, t: float, n_parts: int) -> DataFrame:
-    """a1, a2, b1, b2: ids of sets that may be alike, once per partition in which they meet."""
+class Level:
+    """Nodes of one depth: begin and end of what lies below them, the smallest and largest set, the most that remains."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(part, []).append(_unpack(blob, [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, LONGS)], [np.uint32, np.uint32]))
-        for part in list(held):
-            yield from traverse(held.pop(part))
-
-    def traverse(blobs: list) -> Iterator[pa.RecordBatch]:
-        id1, id2, size, bits = (np.concatenate([b[0][i] for b in blobs]) for i in range(4))
-        counts = np.concatenate([b[1] for b in blobs])
-        token, pos = (np.concatenate([b[2][i] for b in blobs]) for i in range(2))
-        doc = np.repeat(np.arange(len(id1)), counts)
-        once = np.zeros(len(id1), bool)
-        once[first_of_each(id1, id2)] = True
-        size = size.astype(np.int64)
-        use = once[doc]
-        token, pos, doc = token[use], pos[use].astype(np.int64), doc[use]
-        order = np.lexsort((size[doc], token))
-        token, pos, doc = token[order], pos[order], doc[order]
-        if len(token) < 2:
-            return
-        n = size[doc]
-        node = np.cumsum(np.concatenate(([0], token[1:] != token[:-1]))).astype(np.int64)
-        at = (node << 32) | n
-        end = np.searchsorted(at, (node << 32) | np.floor(n / t + EPS).astype(np.int64), side="right")
-        start = np.arange(len(n)) + 1
-        # the smaller of a pair meets the larger within the shorter of its two prefixes
-        short = n - np.ceil(2 * t / (1 + t) * n - EPS).astype(np.int64) + 1
-        count = np.where(pos < short, end - start, 0)
-        tail = np.cumsum(count)
-        found: list[np.ndarray] = []
-        lo = 0
-        while lo < len(count):
-            hi = max(lo + 1, int(np.searchsorted(tail, (tail[lo - 1] if lo else 0) + _CHUNK, side="right")))
-            i, y = ranges(start[lo:hi], count[lo:hi])
-            x = i + lo
-            least = np.ceil(t / (1 + t) * (n[x] + n[y]) - EPS).astype(np.int64)
-            ok = 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= least
-            x, y, least = x[ok], y[ok], least[ok]
-            dx, dy = doc[x], doc[y]
-            apart = np.zeros(len(dx), np.int64)
-            for k in range(bits.shape[1]):
-                apart += np.bitwise_count(bits[dx, k] ^ bits[dy, k])
-            ok = (apart <= n[x] + n[y] - 2 * least) & (dx != dy)
-            dx, dy = dx[ok], dy[ok]
-            found.append(np.unique(np.minimum(dx, dy) * len(id1) + np.maximum(dx, dy)))
-            if sum(map(len, found)) > 4 * _CHUNK:
-                found = [np.unique(np.concatenate(found))]
-            lo = hi
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        dx, dy = pairs // len(id1), pairs % len(id1)
-        swap = (id1[dx] > id1[dy]) | ((id1[dx] == id1[dy]) & (id2[dx] > id2[dy]))
-        dx, dy = np.where(swap, dy, dx), np.where(swap, dx, dy)
-        for k in range(0, len(dx), 100_000):
-            x, y = dx[k : k + 100_000], dy[k : k + 100_000]
-            yield pa.RecordBatch.from_pydict({"a1": id1[x], "a2": id2[x], "b1": id1[y], "b2": id2[y]})
-
-    return posted.repartition(n_parts, "part").mapInArrow(meet, "a1 long, a2 long, b1 long, b2 long").dropDuplicates()
-
-
-def packed_texts(df: DataFrame, text: str, width: int, keep: list[str]) -> DataFrame:
-    """keep columns, s1, s2 (id of the set of shingles) and the packed words; rows without words give none."""
-    names = [f.name for f in df.schema.fields if f.name in keep]
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _texts(batch, text)
-            flat, n_words, _ = S.word_hashes(texts)
-            h, doc = S.shingle_sets(flat, n_words, width)
-            id1, id2 = S.set_ids(h, doc, len(texts))
-            edges = np.concatenate(([0], np.cumsum(n_words)))
-            have = np.flatnonzero(n_words)
-            rest = {c: batch.column(batch.schema.get_field_index(c)).take(pa.array(have)) for c in names}
-            yield pa.RecordBatch.from_pydict(rest | {"s1": id1[have], "s2": id2[have], "words": pa.array([S.pack_words(flat[edges[d] : edges[d + 1]]) for d in have], pa.binary())})
+    def __init__(self, starts: np.ndarray, end: int, size: np.ndarray, rest: np.ndarray):
+        self.begin, self.end = starts, np.append(starts[1:], end)
+        self.low, self.high = np.minimum.reduceat(size, starts), np.maximum.reduceat(size, starts)
+        self.rest = np.maximum.reduceat(rest, starts)
 
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in keep)
-    return df.select(*names, text).mapInArrow(make, kinds + "s1 long, s2 long, words binary")
+    def open(self, x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+        """Pairs of nodes with sets of fitting sizes below."""
+        return (self.high[x] >= t * self.low[y] - P.EPS) & (self.high[y] >= t * self.low[x] - P.EPS)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, t: float, width: int) -> DataFrame:
-    """Those of the pairs (a1, a2, b1, b2) whose sets of shingles have a likeness of at least t."""
+def _rest_bound(common: np.ndarray, loose: int, x: np.ndarray, y: np.ndarray, last_x: np.ndarray, last_y: np.ndarray) -> np.ndarray:
+    """The most shingles two paths can share: what they share so far and what remains.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                x, y = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("x", "y"))
-                c, p, q = S.overlaps(x, y, width)
-                yield part.filter(pa.array(c >= t * (p + q - c) - EPS)).select(["a1", "a2", "b1", "b2"])
+    The path with the smaller last shingle has no more to give but what remains below it; shingles of the other one
+    that aren't matched yet (``loose`` less the common ones) may still be. Equal codes may hide either order.
+    """
+    left = np.maximum(loose - common, 0)
+    small, large = np.minimum(x, y), np.maximum(x, y)
+    either = np.minimum(large, small + left)
+    rest = np.where(last_x < last_y, np.minimum(x, y + left), np.where(last_x > last_y, np.minimum(y, x + left), either))
+    return 1 + common + rest
+
+
+def _below(level: Level, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of what lies below pairs of nodes, a bounded number at a time; for a node with itself each pair once."""
+    rows = level.end[x] - level.begin[x]
+    for lo, hi in P.slices_of(rows):
+        k, i = P.ranges(level.begin[x[lo:hi]], rows[lo:hi])
+        k += lo
+        same = x[k] == y[k]
+        start = np.where(same, i, level.begin[y[k]])
+        counts = level.end[y[k]] - start
+        for a, b in P.slices_of(counts):
+            r, j = P.ranges(start[a:b], counts[a:b])
+            yield i[r + a], j
+
+
+def traverse(token: np.ndarray, ref: np.ndarray, size: np.ndarray, pos: np.ndarray, y1: np.ndarray, y2: np.ndarray, bits: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of refs of the sets in the subtrees of a partition that may be alike."""
+    order = np.lexsort((ref, size, y2, y1, token))
+    token, ref, size, pos, y1, y2, bits = token[order], ref[order], size[order].astype(np.int64), pos[order].astype(np.int64), y1[order].astype(np.int64), y2[order].astype(np.int64), bits[order]
+    once = np.ones(len(token), bool)
+    once[1:] = (token[1:] != token[:-1]) | (ref[1:] != ref[:-1]) | (size[1:] != size[:-1]) | (bits[1:] != bits[:-1]).any(1)
+    token, ref, size, pos, y1, y2, bits = (c[once] for c in (token, ref, size, pos, y1, y2, bits))
+    if len(token) < 2:
+        return
+    new0 = np.concatenate(([True], token[1:] != token[:-1]))
+    new1 = new0 | np.concatenate(([True], y1[1:] != y1[:-1]))
+    new2 = new1 | np.concatenate(([True], y2[1:] != y2[:-1]))
+    leaf_at, mid_at = np.flatnonzero(new2), np.flatnonzero(new1)
+    leaves = Level(leaf_at, len(token), size, np.maximum(size - pos - 3, 0))
+    mids = Level(mid_at, len(token), size, np.maximum(size - pos - 2, 0))
+    mids_low, mids_rest = mids.low, mids.rest
+    c1, l1, l2 = y1[mid_at], y1[leaf_at], y2[leaf_at]
+    # children of a middle node are leaves
+    to_leaf = np.cumsum(new2) - 1
+    mids.begin, mids.end = to_leaf[mids.begin], to_leaf[mids.end - 1] + 1
+    root_end = np.append(np.flatnonzero(new0[mid_at])[1:], len(mid_at))[np.cumsum(new0[mid_at]) - 1]
+    i = np.arange(len(mid_at))
+    counts = root_end - i
+    for lo, hi in P.slices_of(counts):
+        r, y = P.ranges(i[lo:hi], counts[lo:hi])
+        x = r + lo
+        ok = mids.open(x, y, t)
+        x, y = x[ok], y[ok]
+        most = _rest_bound((c1[x] == c1[y]).astype(np.int64), 1, mids_rest[x], mids_rest[y], c1[x], c1[y])
+        ok = most >= needed(t, mids_low[x], mids_low[y])
+        for u, v in _below(mids, x[ok], y[ok]):
+            ok = leaves.open(u, v, t)
+            u, v = u[ok], v[ok]
+            a, b, c, d = l1[u], l2[u], l1[v], l2[v]
+            common = np.minimum((a == c).astype(np.int64) + (b == d) + (a == d) + (b == c), 2)
+            most = _rest_bound(common, 2, leaves.rest[u], leaves.rest[v], b, d)
+            ok = most >= needed(t, leaves.low[u], leaves.low[v])
+            for p, q in _below(leaves, u[ok], v[ok]):
+                n, m = size[p], size[q]
+                least = needed(t, n, m)
+                ok = (p != q) & (least <= np.minimum(n, m)) & (np.minimum(n - pos[p], m - pos[q]) >= least)
+                p, q, apart = p[ok], q[ok], (n + m - 2 * least)[ok]
+                differ = np.zeros(len(p), np.int64)
+                for k in range(bits.shape[1]):
+                    differ += np.bitwise_count(bits[p, k] ^ bits[q, k])
+                ok = differ <= apart
+                yield ref[p[ok]], ref[q[ok]]
 
-    one = texts.groupBy("s1", "s2").agg(F.first("words").alias("words"))
-    left = pairs.join(one.withColumnsRenamed({"s1": "a1", "s2": "a2", "words": "x"}), ["a1", "a2"])
-    both = left.join(one.withColumnsRenamed({"s1": "b1", "s2": "b2", "words": "y"}), ["b1", "b2"])
-    return both.select("a1", "a2", "b1", "b2", "x", "y").mapInArrow(check, "a1 long, a2 long, b1 long, b2 long")
 
+def candidates(posted: DataFrame, t: float, n_parts: int) -> DataFrame:
+    """a, b: refs of sets that may be alike, each pair once, the smaller first."""
 
-def n_partitions(df: DataFrame, postings: int) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(postings / PER_PARTITION))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a partition holds PER_PARTITION postings or so, and nothing of another one
+        held = [P.unpacked(blob, KINDS) for batch in batches for blob in batch.column(1).to_pylist()]
+        if not held:
+            return
+        token, low, high, size, pos, y1, y2, bits = (np.concatenate(c) for c in zip(*held))
+        ref = low.astype(np.int64) | high.astype(np.int64) << 32
+        found: list[np.ndarray] = []
 
+        def merged() -> np.ndarray:
+            return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
-def similar_sets(df: DataFrame, text: str, t: float = 0.8, width: int = 5) -> DataFrame:
-    """a1, a2, b1, b2: ids of all pairs of different shingle sets with likeness of at least t, each pair once, the smaller id first."""
-    table, total = shingle_counts(df, text, width)
-    parts = n_partitions(df, int(total * (1 - t) * 1.2))
-    pairs = candidates(post_sets(df, text, width, t, table, total, parts), t, parts)
-    return verified(pairs, packed_texts(df, text, width, []), t, width)
+        for x, y in traverse(token, ref, size, pos, y1, y2, bits, t):
+            if len(x):
+                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+            if sum(map(len, found)) > 4 * P.CHUNK:
+                pairs = merged()
+                found = [pairs]
+                if len(pairs) > 2 * P.CHUNK:
+                    found = []
+                    yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
+        pairs = merged()
+        yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
+    return posted.repartitionById(n_parts, F.col("part")).mapInArrow(meet, "a long, b long").dropDuplicates()
 
-def memberships(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key, s1, s2: the id of each row's set; rows without shingles give none."""
-    return packed_texts(df, text, width, [key]).drop("words")
+
+def similar_sets(texts: DataFrame, t: float = 0.8, width: int = 5) -> DataFrame:
+    """a1, a2, b1, b2: ids of all pairs of different shingle sets of prepared texts with likeness of at least t, each pair once."""
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    table = shingle_counts(texts, width, total)
+    parts = P.n_partitions(texts, int(total * (1 - t) * 1.2))
+    pairs = candidates(post_sets(texts, width, t, table, parts), t, parts)
+    return P.verified(pairs, texts, t, width)
 
 
 def near_duplicate_rows(df: DataFrame, key: str, text: str, t: float = 0.8, width: int = 5) -> DataFrame:
     """<key>_a, <key>_b: all pairs of rows whose texts' shingle sets have a likeness of at least t, the smaller key first.
 
-    Null texts and texts without words take no part; exact repeats are pairs too. Other columns of df are ignored.
-    """
-    df = df.select(F.col(key), F.col(text))
-    return expanded(similar_sets(df, text, t, width), memberships(df, key, text, width), key, F.lit(True))
-
-
-def expanded(sets: DataFrame, members: DataFrame, key: str, wanted: Column) -> DataFrame:
-    """<key>_a, <key>_b: the pairs of rows of pairs of sets and of equal sets, as far as ``wanted`` (of the structs x and y of the members' columns) holds.
-
-    The members, a few numbers a row, are written once to the shared folder: the texts aren't read again for each join.
+    Null texts and texts without words take no part; exact repeats are pairs too. Other columns of df are ignored. The
+    texts are read and normalised once, and written to the shared folder.
     """
-    members = cut(members)
-    rest = F.struct(*[c for c in members.columns if c not in ("s1", "s2")])
-    m = members.select("s1", "s2", rest.alias("m"))
-    a = sets.withColumnsRenamed({"a1": "s1", "a2": "s2"}).join(m, ["s1", "s2"]).select("b1", "b2", F.col("m").alias("x"))
-    between = a.withColumnsRenamed({"b1": "s1", "b2": "s2"}).join(m, ["s1", "s2"]).select("x", F.col("m").alias("y")).where(wanted)
-    within = m.withColumnRenamed("m", "x").join(m.withColumnRenamed("m", "y"), ["s1", "s2"]).where((F.col("x")[key] < F.col("y")[key]) & wanted)
-    every = between.unionAll(within.select("x", "y")).select(F.col("x")[key].alias("x"), F.col("y")[key].alias("y"))
-    return every.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+    texts = written(P.prepared(df.select(F.col(key), F.col(text)), text, width, [key]))
+    return P.expanded(similar_sets(texts, t, width), texts.select(key, "s1", "s2"), key, F.lit(True))

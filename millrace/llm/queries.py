@@ -38,10 +38,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The stored postings make the history, then each batch of incoming ones is appended and matched in turn."""
     body = likeness_text(F.col("title"), F.col("description")).alias("body")
     both = None
-    for name, new in (("jobs", False), ("incoming_jobs", True)):
-        rows = table(spark, d, name).select("job_row_id", F.lit(new).alias("is_new"), "job_id_hash", body, "block_key")
+    for name, batch in (("jobs", F.lit(0)), ("incoming_jobs", F.col("batch_no"))):
+        rows = table(spark, d, name).select("job_row_id", batch.alias("batch_no"), "job_id_hash", body, "block_key")
         both = rows if both is None else both.unionAll(rows)
     return match_batches(with_values(both, "block_key", KEYS, "keys"), "job_row_id", t=0.6)
 

@@ -53,8 +53,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[l
     return flat, n, docs
 
 
-def shingle_sets(flat: np.ndarray, n_words: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, doc): the distinct shingles of each text, sorted by text and hash."""
+def windows(flat: np.ndarray, n_words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, doc, first word) of all runs of ``width`` words, in order; of a shorter text all its words."""
     n_docs = len(n_words)
     starts = np.concatenate(([0], np.cumsum(n_words)[:-1])) if n_docs else np.zeros(0, np.int64)
     runs = np.where(n_words > 0, np.maximum(n_words - width + 1, 1), 0)
@@ -65,6 +65,12 @@ def shingle_sets(flat: np.ndarray, n_words: np.ndarray, width: int = 3) -> tuple
     h = np.zeros(len(doc), np.uint64)
     for i in range(width):
         h = mix(h + np.where(left > i, padded[first + i], np.uint64((1 << 40) + i)) * _K[i % 3])
+    return h, doc, first
+
+
+def shingle_sets(flat: np.ndarray, n_words: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, doc): the distinct shingles of each text, sorted by text and hash."""
+    h, doc, _ = windows(flat, n_words, width)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     keep = np.ones(len(h), bool)
@@ -80,30 +86,34 @@ def set_ids(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np
     return mix(a).view(np.int64), mix(b).view(np.int64)
 
 
-def bitmaps(h: np.ndarray, doc: np.ndarray, n_docs: int, longs: int = 3) -> np.ndarray:
-    """(n_docs, longs) uint64: each shingle flips one of the bits. The bits in which two sets differ are at most their symmetric difference."""
-    bits = np.bincount(doc * (64 * longs) + (h >> np.uint64(20)).astype(np.int64) % (64 * longs), minlength=n_docs * 64 * longs) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(n_docs, -1), axis=1).view(np.uint64)
-
-
-def pack_words(flat: np.ndarray) -> bytes:
-    """24 bits of the hash of each word. Shingles made of these differ wrongly from those of full hashes only where all words of a run collide in place."""
-    low = (flat & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)
-    return low[:, :3].tobytes()
+def bitmaps(h: np.ndarray, doc: np.ndarray, n_docs: int, lanes: int) -> np.ndarray:
+    """(n_docs, lanes) uint32: each shingle flips one of the bits. The bits in which two sets differ are at most their symmetric difference."""
+    width = 32 * lanes
+    bits = np.bincount(doc * width + (h >> np.uint64(20)).astype(np.int64) % width, minlength=n_docs * width) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(n_docs, -1), axis=1).view(np.uint32)
 
 
-def unpack_words(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(flat, number of words per text), as word_hashes gives them."""
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 3).astype(np.uint64)
-    return raw[:, 0] | raw[:, 1] << np.uint64(8) | raw[:, 2] << np.uint64(16), np.array([len(p) // 3 for p in packed], np.int64)
+def plain_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """As word_hashes, of texts that are normalised already (words joined by blanks)."""
+    docs = [t.encode().split() for t in texts]
+    flat, n = _hash_words(docs)
+    return flat, n, docs
 
 
-def overlaps(x: list[bytes], y: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each pair of packed texts: common shingles, shingles of x, shingles of y."""
-    hx, dx = shingle_sets(*unpack_words(x), width)
-    hy, dy = shingle_sets(*unpack_words(y), width)
-    h, d = np.concatenate((hx, hy)), np.concatenate((dx, dy))
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    twice = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
-    return np.bincount(d[1:][twice], minlength=len(x)), np.bincount(dx, minlength=len(x)), np.bincount(dy, minlength=len(x))
+def overlaps(x: list[str], y: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of normalised texts: common shingles, shingles of x, shingles of y, by 64-bit hashes. Each distinct text is cut once."""
+    place: dict[str, int] = {}
+    at = np.array([place.setdefault(t, len(place)) for t in (*x, *y)], np.int64).reshape(2, -1)
+    flat, n, _ = plain_hashes(list(place))
+    h, d = shingle_sets(flat, n, width)
+    size = np.bincount(d, minlength=len(place))
+    begin = np.cumsum(size) - size
+    sides = []
+    for ids in at:
+        pair = np.repeat(np.arange(len(ids)), size[ids])
+        sides.append((pair, h[np.arange(len(pair)) - np.repeat(np.cumsum(size[ids]) - size[ids], size[ids]) + begin[ids][pair]]))
+    pair, both = np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides])
+    order = np.lexsort((both, pair))
+    both, pair = both[order], pair[order]
+    twice = (both[1:] == both[:-1]) & (pair[1:] == pair[:-1])
+    return np.bincount(pair[1:][twice], minlength=len(x)), size[at[0]], size[at[1]]
