@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from millrace.session import utrim
@@ -123,10 +128,65 @@ def keyword_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(_text(c), "[,;/]"), utrim), lambda x: (x != "") & (x != "MISSING"))
 
 
+# How far descriptions are shown, and what ends the text of a guest page.
+SHOWN, GUEST_WINDOW, GUEST_END = 4000, 12_000, "show more show less"
+
+
+def _plain(c: Column) -> Column:
+    bare = F.regexp_replace(_text(c), r"(?is)<(script|style)\b.*?</\1>", " ")
+    return F.regexp_replace(bare, r"(?s)<[a-zA-Z/!][^>]*>", " ")
+
+
 def html_text(c: Column) -> Column:
     """Text of markup: scripts, styles and tags dropped, common entities decoded, white space collapsed."""
-    bare = F.regexp_replace(_text(c), r"(?is)<(script|style)\b.*?</\1>", " ")
-    bare = F.regexp_replace(bare, r"(?s)<[a-zA-Z/!][^>]*>", " ")
+    bare = _plain(c)
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
     return utrim(F.regexp_replace(bare, r"(?U)\s+", " "))
+
+
+def _unescape(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
+
+
+def description_text(c: Column, limit: int = SHOWN) -> Column:
+    """Text of a description's markup with all entities decoded, numeric ones too, cut at ``limit`` characters. Texts without an entity don't leave the JVM's result."""
+    bare = _plain(c)
+    decoded = F.when(bare.contains("&"), F.pandas_udf(_unescape, "string")(bare)).otherwise(bare)
+    return F.substring(utrim(F.regexp_replace(decoded, r"(?U)\s+", " ")), 1, limit)
+
+
+def page_text(c: Column, limit: int = SHOWN) -> Column:
+    """Text of a page's markup, entities as they stand."""
+    return F.substring(utrim(F.regexp_replace(_plain(c), r"(?U)\s+", " ")), 1, limit)
+
+
+def guest_text(c: Column, limit: int = SHOWN) -> Column:
+    """Text of a guest page's description: of its first GUEST_WINDOW characters, up to the words that end it."""
+    text = utrim(F.regexp_replace(_plain(F.substring(_text(c), 1, GUEST_WINDOW)), r"(?U)\s+", " "))
+    at = F.instr(F.lower(text), GUEST_END)
+    return F.substring(utrim(F.when(at > 0, F.left(text, at - 1)).otherwise(text)), 1, limit)
+
+
+def _json_object(s: pd.Series) -> pd.Series:
+    def of(text: str | None) -> str | None:
+        if not text:
+            return None
+        fenced = re.search(r"```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```", text, re.DOTALL)
+        body = fenced.group(1) if fenced else text
+        depth, begin = 0, body.find("{")
+        for i in range(max(begin, 0), len(body)):
+            depth += (body[i] == "{") - (body[i] == "}")
+            if not depth:
+                try:
+                    return json.dumps(json.loads(body[begin : i + 1]), ensure_ascii=False) if begin >= 0 else None
+                except ValueError:
+                    return None
+        return None
+
+    return s.map(of, na_action="ignore")
+
+
+def json_object(c: Column) -> Column:
+    """The first object in an answer's text, fenced or bare, as JSON; null where there is none that parses. Counting braces has no built-in, so texts go by in Arrow batches."""
+    return F.when(c.contains("{"), F.pandas_udf(_json_object, "string")(c))

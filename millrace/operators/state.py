@@ -39,3 +39,57 @@ def upsert(snapshot: DataFrame, batch: DataFrame, key: str = "job_id_hash") -> D
 def pruned(df: DataFrame, last_seen: Column, as_of: float, days: int = 90) -> DataFrame:
     """Without rows that are closed and were seen last more than so many days before as_of (epoch seconds)."""
     return df.where(~(F.col("authentic_status").eqNullSafe("CLOSED") & F.coalesce(last_seen < as_of - days * 86400, F.lit(False))))
+
+
+def best_match(candidates: DataFrame) -> DataFrame:
+    """id1, id2: the row that each incoming one is merged into: an equal hash (tier 0), else the highest score, the first tier, the smaller id. candidates: id1, id2, tier, score."""
+    top = F.max(F.struct((F.col("tier") == 0).alias("same"), "score", (-F.col("tier")).alias("t"), (-F.col("id2")).alias("m")))
+    return candidates.groupBy("id1").agg(top.alias("b")).select("id1", (-F.col("b.m")).alias("id2"))
+
+
+#: What a merge takes from the incoming row; title, company, place, role, description, dates and first sight stay.
+MUTABLE = [
+    "apply_url_direct", "authentic_status", "confidence_score", "valid_through", "employer_domain", "canonical_job_id", "block_key", "possible_duplicate_of", "identity_score", "authenticity_score",
+    "match_score", "decision", "matched_via", "original_url", "canonical_url", "final_url", "description_fingerprint", "job_version", "posting_id", "source_authority", "evidence", "negative_evidence",
+]
+
+
+def merged(snapshot: DataFrame, batch: DataFrame, key: str, to: str, mutable: list[str] = MUTABLE, order: str = "id1") -> DataFrame:
+    """The snapshot (key, last_seen_at, source_names, ...) after a batch whose rows are matched to stored ones (column ``to``), with ``merged``.
+
+    A matched row takes time and mutable columns of the batch's last row for it (by ``seen``, then ``order``), null ones too,
+    and the sources it didn't have in order of sight. One aggregation with partial maxima and one join; a hot row
+    costs one entry a task.
+    """
+    names = F.array_sort(F.collect_set(F.struct("seen", "source_name")))["source_name"]
+    last = batch.groupBy(F.col(to).alias(key)).agg(F.max_by(F.struct(*mutable), F.struct("seen", order)).alias("__new"), F.max("seen").alias("__seen"), names.alias("__names"))
+    rows = snapshot.join(last, key, "left")
+    hit = F.col("__new").isNotNull()
+    own = F.coalesce("source_names", F.array().cast("array<string>"))
+    more = F.filter(F.coalesce("__names", F.array().cast("array<string>")), lambda s: s.isNotNull() & (s != ""))
+    changed = {c: F.when(hit, F.col(f"__new.{c}")).otherwise(F.col(c)) for c in mutable if c in snapshot.columns}
+    rows = rows.withColumns({**changed, "last_seen_at": F.coalesce("__seen", "last_seen_at"), "source_names": F.array_distinct(F.concat(own, more)), "merged": hit})
+    return rows.drop("__new", "__seen", "__names")
+
+
+def migrated(rows: DataFrame, schema: str) -> DataFrame:
+    """A stored table of an older form in the present one: columns it lacks come as null, others are cast; a placeholder without any of them gives no rows."""
+    from pyspark.sql.types import StructType
+
+    want = StructType.fromDDL(schema)
+    known = [f for f in want if f.name in rows.columns]
+    out = rows.select(*[(F.col(f.name) if f in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
+    return out if len(known) > 1 else out.where(F.lit(False))
+
+
+def stepped(snapshot: DataFrame, batch: DataFrame, key: str = "job_id_hash") -> tuple[DataFrame, DataFrame]:
+    """Rows of a batch in the order of their arrival, without replaying them one by one: the first row of each new key, and the later ones that fall on it or on a stored one.
+
+    batch: key, seen, row_id and others. (inserted, repeated): a row that arrives first for a key that isn't stored is inserted; all
+    others are repeats, to be merged. Rows that are alike but have different keys meet in the candidates of the next batch
+    only: that is what the set-based step gives up against a replay.
+    """
+    first = batch.groupBy(key).agg(F.min_by("row_id", F.struct("seen", "row_id")).alias("__first"))
+    marked = batch.join(first, key).join(snapshot.select(key, F.lit(True).alias("__held")).dropDuplicates([key]), key, "left")
+    new = F.col("__held").isNull() & (F.col("row_id") == F.col("__first"))
+    return marked.where(new).drop("__first", "__held"), marked.where(~new).drop("__first", "__held")

@@ -7,6 +7,7 @@ give no rows. All but the JSON-LD walk are built-in expressions.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from millrace.functions.dates import age_phrase
+
 RAW = "source_name string, source_url string, title string, company string, location string, description string, posted_date string, apply_url string, extra map<string,string>"
 RAW_COLUMNS = [c.split()[0] for c in RAW.split(", ")]
 
@@ -42,8 +45,16 @@ def slug_json(df: DataFrame, base: str = "https://remoteok.com") -> DataFrame:
     return _raw(j, "remoteok", extra, title=F.coalesce(F.nullif("j.position", F.lit("")), "j.title"), company=F.col("j.company"), location=F.col("j.location"), description=F.col("j.description"), posted_date=F.col("j.date"), apply_url=url)
 
 
+# Names that a search API's country codes stand for.
+COUNTRIES = {
+    "in": "India", "us": "USA", "gb": "UK", "ca": "Canada", "au": "Australia", "nz": "New Zealand", "mx": "Mexico", "br": "Brazil", "de": "Germany",
+    "fr": "France", "sg": "Singapore", "ae": "UAE", "za": "South Africa", "nl": "Netherlands", "es": "Spain", "it": "Italy", "ie": "Ireland", "pl": "Poland",
+}
+
+
 def search_json(df: DataFrame, country: str = "") -> DataFrame:
-    """``results`` of a search API; the country is added to a place that doesn't name it."""
+    """``results`` of a search API; the country (a code or a name) is added to a place that doesn't name it."""
+    country = COUNTRIES.get(country.lower(), country)
     j = _items(df, "title: string, company: struct<display_name: string, displayname: string>, location: struct<display_name: string, displayname: string>, description: string, created: string, redirect_url: string, url: string, salary_min: string", "results")
     place = F.coalesce("j.location.displayname", "j.location.display_name", F.lit(""))
     full = F.when(F.lower(place).contains(country.lower()), place).otherwise(F.concat_ws(", ", F.nullif(place, F.lit("")), F.lit(country))) if country else place
@@ -181,6 +192,100 @@ def json_ld(df: DataFrame, source: str = "career_page_generic") -> DataFrame:
     return df.select("source_url", "payload").mapInPandas(parse, RAW)
 
 
+def flat_postings(df: DataFrame, source: str = "google_jobs") -> DataFrame:
+    """Postings of result pages: their JSON-LD, and for pages without any the flat objects anywhere in them that name the type."""
+    kind = "`@type`: string, title: string, description: string, datePosted: string, validThrough: string, url: string, hiringOrganization: string, jobLocation: string"
+    held = json_ld(df, source)
+    rest = df.where(~F.coalesce("payload", F.lit("")).rlike(r"(?i)<script[^>]*application/ld\+json"))
+    found = F.regexp_extract_all("payload", F.lit(r"\{[^{}]*JobPosting[^{}]*\}"), F.lit(0))
+    j = rest.select("source_url", F.explode(F.transform(found, lambda o: F.from_json(o, f"struct<{kind}>"))).alias("j")).where("j.`@type` = 'JobPosting'")
+    extra = {"valid_through": F.col("j.validThrough")}
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    flat = _raw(j, source, extra, title=text("j.title"), company=text("j.hiringOrganization"), location=text("j.jobLocation"), description=text("j.description"), posted_date=text("j.datePosted"), apply_url=F.coalesce(F.nullif("j.url", F.lit("")), "source_url"))
+    return held.unionByName(flat)
+
+
+# Sites that relative links of a portal's cards belong to.
+PORTALS = {
+    "linkedin": "https://www.linkedin.com", "indeed": "https://in.indeed.com", "glassdoor": "https://www.glassdoor.co.in", "naukri": "https://www.naukri.com",
+    "hirist": "https://www.hirist.tech", "internshala": "https://internshala.com", "wellfound": "https://wellfound.com",
+}
+
+
+def portal_cards(df: DataFrame, source: str, default_place: str = "", top_n: int | None = None) -> DataFrame:
+    """Landed cards of a portal as RAW rows.
+
+    df: title, company, location, href, and where the portal shows them posted, body, experience, salary or stipend, of
+    each card, in the order of ``place`` on a page ``source_url``. Cards without title or link are left out; a relative link
+    gets the portal's site; an age that stands only in the card's text is taken from there. top_n: so many of each page.
+    """
+    has = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in df.columns else F.lit("")
+    link = F.when(has("href").startswith("http") | (has("href") == ""), has("href")).otherwise(F.concat(F.lit(PORTALS.get(source, "")), has("href")))
+    rows = df.withColumns({"__title": has("title"), "__link": link}).where("__title <> '' and __link <> ''")
+    if top_n is not None:
+        from millrace.operators.matching import first_of_each
+
+        rows = first_of_each(rows, "source_url", ["place"], top_n)
+    extra = {"salary": F.coalesce(F.nullif(has("salary"), F.lit("")), has("stipend")), "experience_needed": has("experience")}
+    posted = F.when(has("posted") != "", has("posted")).otherwise(age_phrase(has("body")))
+    return _raw(rows, source, extra, title=F.col("__title"), company=has("company"), location=F.when(has("location") != "", has("location")).otherwise(F.lit(default_place)), description=F.lit(""), posted_date=posted, apply_url=F.col("__link"), source_url=F.col("__link"))
+
+
+def listing_slug(keywords: list[str], roles: list[str]) -> str:
+    """The part of a listing's address that names what is looked for: the first keyword, else the first role."""
+    word = re.sub(r"[^a-z0-9]+", "-", keywords[0].lower()).strip("-") if keywords else ""
+    return word or "-".join(roles[0].lower().split() if roles else ["internship"])
+
+
+# Links to postings, texts that only navigate, and what a line with a place may hold.
+POSTING_LINK = r"(?i)/(job|jobs|position|positions|requisition|opening|vacancy)/"
+NAVIGATION = (
+    "all jobs", "search jobs", "view all", "job alerts", "careers home", "job search", "find jobs", "browse jobs", "how to apply", "recommended jobs", "saved jobs",
+    "login", "register", "sign in", "sign up", "contact", "about us", "faq", "learn more", "know more", "read more", "view details", "latest vacancies", "access zoho home", "apply now",
+)
+PLACE_LINE = r"(?i)india|bangalore|bengaluru|hyderabad|pune|mumbai|chennai|delhi|gurgaon|gurugram|noida|kolkata|remote|united states|united kingdom|singapore|germany|japan"
+ANCHORS = 50
+
+
+def anchor_cards(df: DataFrame, source: str = "career_page_browser") -> DataFrame:
+    """Postings from the links of a rendered page: href and text of each link (columns company and place: employer and order on the page).
+
+    The first line is the title: eight characters at least, none of the navigation's texts; the place is the first later line of 60
+    characters at most with a comma or a known name. A link counts once for each page, and a page for its first ANCHORS links.
+    """
+    from millrace.operators.matching import first_of_each
+
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    rows = df.where(F.col("href").rlike(POSTING_LINK)).select("*", F.explode(F.array(lines)).alias("__lines")).withColumn("__title", F.get("__lines", F.lit(0)))
+    noise = F.lit(False)
+    for n in NAVIGATION:
+        noise = noise | F.lower("__title").contains(n)
+    rows = rows.where((F.length("__title") >= 8) & ~noise)
+    first = rows.groupBy("source_url", "href").agg(F.min_by(F.struct(*rows.columns), "place").alias("r")).select("r.*")
+    rows = first_of_each(first, "source_url", ["place"], ANCHORS)
+    later = F.filter(F.slice("__lines", 2, 1_000_000), lambda x: (F.length(x) <= 60) & (x.contains(",") | x.rlike(PLACE_LINE)))
+    return _raw(rows, source, None, title=F.col("__title"), company=F.coalesce("company", F.lit("")), location=F.coalesce(F.get(later, F.lit(0)), F.lit("")), description=F.lit(""), apply_url=F.col("href"), source_url=F.col("href"))
+
+
+def report_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the report.json files in an archive's folders, with run_ts, the folder's name; files that don't parse give none."""
+    rows = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(f"{path}/*/report.json")
+    rows = rows.withColumn("run_ts", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    if "_corrupt" in rows.columns:
+        rows = rows.cache().where("_corrupt is null").drop("_corrupt")
+    return rows
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled pairs, one JSON object a line: structs a and b, label, notes; blank lines are passed over."""
+    side = "struct<title: string, company: string, location: string, description: string, apply_url_direct: string>"
+    return spark.read.schema(f"a {side}, b {side}, label int, notes string").json(path).where("label is not null")
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    pairs.write.mode("overwrite").json(path)
+
+
 def filled(cards: DataFrame, details: DataFrame, overwrite: bool = False) -> DataFrame:
     """Cards with the description of their landed detail page (apply_url, description): where blank, or everywhere."""
     found = details.groupBy("apply_url").agg(F.max("description").alias("detail"))
@@ -217,13 +322,17 @@ class Source:
     read: Callable[[DataFrame], DataFrame]
 
 
-SOURCES = [Source("remoteok", slug_json), Source("adzuna", search_json), Source("usajobs", government_json), Source("greenhouse", board_json), Source("lever", posting_json), Source("linkedin_guest", html_cards), Source("career_page_generic", json_ld)]
+SOURCES = [
+    Source("remoteok", slug_json), Source("adzuna", search_json), Source("usajobs", government_json), Source("greenhouse", board_json), Source("lever", posting_json),
+    Source("linkedin_guest", html_cards), Source("career_page_generic", json_ld), Source("career_page_browser", anchor_cards), Source("google_jobs", flat_postings),
+    *[Source(name, functools.partial(portal_cards, source=name)) for name in PORTALS],
+]
+#: Feeds that are read from files, not from landed payloads: name to whether the company leads the title.
+RSS_SOURCES = {"weworkremotely": True, "remotive": False, "jobicy": False}
 
 
-def union(payloads: dict[str, DataFrame]) -> DataFrame:
-    """Rows of all payloads, by the name of their source."""
+def union(payloads: dict[str, DataFrame], rss: dict[str, tuple[SparkSession, str]] | None = None) -> DataFrame | None:
+    """Rows of all payloads and RSS files (name to session and path), by the name of their source; None for none."""
     parts = [s.read(payloads[s.name]) for s in SOURCES if s.name in payloads]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts += [rss_items(session, path, name, RSS_SOURCES[name]) for name, (session, path) in (rss or {}).items()]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else None
