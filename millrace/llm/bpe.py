@@ -11,11 +11,13 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 #: Fixed value: the pattern that cuts a text into words for the byte-level vocabularies.
@@ -34,12 +36,19 @@ def vocabulary_path(name: str = "byte_bpe_50k", folder: str = FOLDER) -> str:
     return path
 
 
+def vocabulary_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class Encoder:
     """Byte-level BPE by the ranks of a vocabulary file."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, vocabulary: bytes | str):
+        """vocabulary: the lines of a vocabulary file, or its path."""
+        if isinstance(vocabulary, str):
+            vocabulary = vocabulary_bytes(vocabulary)
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[tuple[int, int], int] = {}
@@ -152,13 +161,20 @@ def _runs(words: list[str], limit: int = 1_000_000) -> Iterator[list[str]]:
         yield run
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[int, Encoder] = {}
+
+
+def shipped(df: DataFrame, path: str) -> Broadcast[bytes]:
+    """The vocabulary file at a path of the driver, for the workers (about a megabyte): they need no such path."""
+    return df.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(vocabulary: Broadcast[bytes]) -> Encoder:
+    """The worker's encoder for a shipped vocabulary, made once."""
+    key = zlib.crc32(vocabulary.value)
+    if key not in _encoders:
+        _encoders[key] = Encoder(vocabulary.value)
+    return _encoders[key]
 
 
 def slices(batch: pa.RecordBatch, text: str, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -176,13 +192,13 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None, o
 
     Strings that look like special tokens are ordinary text. One pass over the rows, no shuffle.
     """
-    path = path or vocabulary_path()
+    vocabulary = shipped(df, path or vocabulary_path())
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        e = encoder(path)
+        e = encoder(vocabulary)
         for batch in batches:
             for part in slices(batch, "t"):
                 ids = e.encode(part.column(1).to_pylist())

@@ -7,7 +7,9 @@ sets enter is cut in blocks that meet in pairs. Within a partition the tree is l
 range of set sizes and the most that remains below them. Pairs of nodes are walked from the root down, so what sets with
 one path share is worked out once for all of them, and a pair of subtrees is cut as soon as the overlap so far and the
 remaining lengths can't reach what the smallest sets below need. Pairs of sets that are left pass the same bound with
-their own lengths and a bound by parity bitmaps; all bounds are exact, so no pair is lost. Candidates are then
+their own lengths, and a bound by parity bitmaps of what remains. A bound may take the root for the first shingle that two
+sets share, as below that one they meet too: what stands before it is lost to both. All bounds are exact, so no pair is
+lost. Candidates are then
 verified on whole texts.
 
 Equal sets are one candidate; their rows come back through the membership table at the end.
@@ -25,10 +27,10 @@ from millrace.llm import postings as P, shingles as S
 from millrace.session import is_blank, written
 
 #: 32-bit lanes of a bitmap.
-LANES = 5
+LANES = 4
 #: Code of a missing shingle on a path.
 END = 0xFFFF
-#: Columns of a posting: token, ref (two parts), size of the set, place of the token in it, path, bitmap.
+#: Columns of a posting: token, ref (two parts), size of the set, place of the token in it, path, bitmap of what follows.
 KINDS = [(np.uint32, 1), (np.uint32, 1), (np.uint8, 1), (np.uint32, 1), (np.uint32, 1), (np.uint16, 1), (np.uint16, 1), (np.uint32, LANES)]
 _SEEN = 1_000_000
 
@@ -69,11 +71,11 @@ def post_sets(texts: DataFrame, width: int, t: float, table: np.ndarray, n_parts
             ref = np.array(P.texts_of(batch, "ref"), np.int64)
             h, doc = S.shingle_sets(flat, n_words, width)
             size = np.bincount(doc, minlength=n)
-            bits = S.bitmaps(h, doc, n, LANES)
             step = P.steps_of(steps, h)
             order = np.lexsort((h, step, doc))
             h, doc, step = h[order], doc[order], step[order]
             pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            bits = S.rest_bitmaps(h, np.cumsum(size)[doc], LANES)
             # codes keep the global order; equal ones may stand for different shingles
             code = np.append((step.astype(np.uint16) << np.uint16(8)) | (h >> np.uint64(56)).astype(np.uint16), [END, END]).astype(np.uint16)
             own = np.append(doc, [-1, -1])
@@ -81,16 +83,16 @@ def post_sets(texts: DataFrame, width: int, t: float, table: np.ndarray, n_parts
             prefix = size - np.ceil(t * size - P.EPS).astype(np.int64) + 1
             # a shingle that one row holds leads to no other
             use = (pos < prefix[doc]) & (step > 0)
-            h, doc, pos, path, blocks = h[use], doc[use], pos[use], [p[use] for p in path], P.blocks_of(step[use])
+            h, doc, pos, bits, path, blocks = h[use], doc[use], pos[use], bits[use], [p[use] for p in path], P.blocks_of(step[use])
             token = S.mix(h)
             if (blocks > 1).any():
                 mine = (ref[doc] % blocks).astype(np.int64)
                 i, other = P.ranges(np.zeros(len(blocks), np.int64), blocks)
                 low, high = np.minimum(mine[i], other).astype(np.uint64), np.maximum(mine[i], other).astype(np.uint64)
                 token = np.where(blocks[i] > 1, S.mix(token[i] + S.mix((low << np.uint64(32)) | high)), token[i])
-                doc, pos, path = doc[i], pos[i], [p[i] for p in path]
+                doc, pos, bits, path = doc[i], pos[i], bits[i], [p[i] for p in path]
             part, token = ((token & np.uint64(0x7FFFFFFF)) % np.uint64(n_parts)).astype(np.int64), (token >> np.uint64(32)).astype(np.uint32)
-            columns = [token, *P.refs_packed(ref[doc]), size[doc].astype(np.uint32), pos.astype(np.uint32), *path, bits[doc]]
+            columns = [token, *P.refs_packed(ref[doc]), size[doc].astype(np.uint32), pos.astype(np.uint32), *path, bits]
             yield from P.spread(part, n_parts, np.argsort(token, kind="stable"), columns)
 
     return texts.select("ref", "s1", "s2", "words").mapInArrow(post, "part int, blob binary")
@@ -177,7 +179,7 @@ def traverse(token: np.ndarray, ref: np.ndarray, size: np.ndarray, pos: np.ndarr
                 n, m = size[p], size[q]
                 least = needed(t, n, m)
                 ok = (p != q) & (least <= np.minimum(n, m)) & (np.minimum(n - pos[p], m - pos[q]) >= least)
-                p, q, apart = p[ok], q[ok], (n + m - 2 * least)[ok]
+                p, q, apart = p[ok], q[ok], (n + m - 2 * least - pos[p] - pos[q])[ok]
                 differ = np.zeros(len(p), np.int64)
                 for k in range(bits.shape[1]):
                     differ += np.bitwise_count(bits[p, k] ^ bits[q, k])

@@ -86,11 +86,16 @@ def set_ids(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np
     return mix(a).view(np.int64), mix(b).view(np.int64)
 
 
-def bitmaps(h: np.ndarray, doc: np.ndarray, n_docs: int, lanes: int) -> np.ndarray:
-    """(n_docs, lanes) uint32: each shingle flips one of the bits. The bits in which two sets differ are at most their symmetric difference."""
-    width = 32 * lanes
-    bits = np.bincount(doc * width + (h >> np.uint64(20)).astype(np.int64) % width, minlength=n_docs * width) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(n_docs, -1), axis=1).view(np.uint32)
+def rest_bitmaps(h: np.ndarray, ends: np.ndarray, lanes: int) -> np.ndarray:
+    """(len(h), lanes) uint32: of what follows each shingle in its text, which ends before ``ends``: each shingle flips one of the bits.
+
+    The bits in which two of them differ are at most the symmetric difference of what follows.
+    """
+    bit = (h >> np.uint64(20)).astype(np.int64) % (32 * lanes)
+    one = np.zeros((len(h), lanes), np.uint32)
+    one[np.arange(len(h)), bit >> 5] = np.uint32(1) << (bit & 31).astype(np.uint32)
+    so_far = np.bitwise_xor.accumulate(one, axis=0)
+    return so_far[ends - 1] ^ so_far
 
 
 def plain_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:

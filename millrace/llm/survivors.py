@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.operators.packed import JOB_LISTS, explode_texts
+from millrace.operators.packed import JOB_LISTS, with_values
 from millrace.session import is_blank, utrim
 
 FIELDS = ["location", "description", "apply_url_direct", "valid_through", "experience_needed", "employer_domain"]
@@ -44,15 +44,14 @@ def survivors(jobs: DataFrame, fields: list[str] = FIELDS, values: bool = False)
     def entry(c: Column) -> Column:
         return F.struct("o", (c if values else F.lit(None).cast("string")).alias("v"))
 
+    # the values of a row are counted in the row, so one aggregation and one exchange serve all attributes
+    ranked = with_values(ranked.withColumn("__t", F.col("seen_sources")), "__t", JOB_LISTS["seen_sources"], "__v")
+    distinct = F.size(F.array_distinct("__v"))
     rows = ranked.select(
-        "canonical_key", F.lit(1).alias("n"), entry(F.lit(None).cast("string")).alias("record"),
-        *[F.when(~is_blank(F.col(f)), entry(F.col(f))).alias(f) for f in fields], F.lit(None).cast("bigint").alias("distinct"), F.lit(None).cast("struct<o:struct<authority:int,seen:double,minus_id:bigint>,v:string>").alias("sources"),
+        "canonical_key", entry(F.lit(None).cast("string")).alias("record"), *[F.when(~is_blank(F.col(f)), entry(F.col(f))).alias(f) for f in fields],
+        F.when(distinct > 0, F.struct(distinct.alias("distinct"), entry(F.col("seen_sources")).alias("s"))).alias("sources"),
     )
-    packed = ranked.select("canonical_key", "o", F.lit("seen_sources").alias("f"), F.col("seen_sources").alias("t"), F.col("seen_sources").alias("v" if values else "_"))
-    per_row = explode_texts(packed, "f", "t", {"seen_sources": JOB_LISTS["seen_sources"]}).groupBy("canonical_key", "o", *["v"] * values).agg(F.count_distinct("item_value").alias("distinct"))
-    wide = per_row.select("canonical_key", F.lit(0).alias("n"), F.struct("o", (F.col("v") if values else F.lit(None).cast("string")).alias("v")).alias("sources"), "distinct")
-    every = rows.unionByName(wide, allowMissingColumns=True)
-    best = every.groupBy("canonical_key").agg(F.sum("n").alias("n"), *[F.max(f).alias(f) for f in ("record", *fields)], F.max(F.when(F.col("sources").isNotNull(), F.struct("distinct", "sources")))["sources"].alias("seen_sources"))
+    best = rows.groupBy("canonical_key").agg(F.count("*").alias("n"), *[F.max(f).alias(f) for f in ("record", *fields)], F.max("sources")["s"].alias("seen_sources"))
     names = ["record", *fields, "seen_sources"]
     out = best.where("n >= 2").select("canonical_key", F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("s")) for f in names]))).where("s is not null")
     return out.select("canonical_key", "field_name", (-F.col("s.o.minus_id")).alias("job_row_id"), *[F.col("s.v").alias("item_value")] * values)
