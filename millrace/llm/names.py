@@ -17,7 +17,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.session import cut, is_blank
 
@@ -26,8 +26,10 @@ LEGAL = {"inc", "llc", "ltd", "corp", "corporation", "co", "company", "gmbh", "a
 ADDED = {"the", "and", "careers", "career", "jobs", "hiring", "recruiting", "recruitment", "talent", "team", "hq", "headquarters"}
 
 EDITS = 2
-#: A word is a trade if it stands beside this share of all names' words, and beside so many at least.
-TRADE_SHARE, TRADE_LEAST = 0.003, 12
+#: A word is a trade if it is the last word of this share of its names, and stands beside words of so many different beginnings (two letters).
+LAST_SHARE, BEGINNINGS = 0.8, 3
+#: Least share of all names that a trade ends: it bounds what reaches the driver to its reciprocal.
+LEAST_SHARE = 1e-5
 
 
 def tokens_of(name: str) -> tuple[list[str], bool]:
@@ -81,100 +83,142 @@ def trade_of(words: list[str], trades: list[str]) -> tuple[str | None, int]:
         w = words[i]
         if len(w) < 3:
             continue
-        near = [t for t in trades if osa(w, t, 1 if len(t) < 5 else 2) <= (1 if len(t) < 5 else 2)]
-        if len(near) == 1:
-            return near[0], i
+        near = sorted((d, t) for t in trades if (d := osa(w, t, 1 if len(t) < 5 else 2)) <= (1 if len(t) < 5 else 2))
+        if len(near) == 1 or len(near) > 1 and near[0][0] < near[1][0]:
+            return near[0][1], i
         short = [t for t in trades if short_for(w, t)]
         if len(short) > 1:  # the first letter tells most
             short = [t for t in short if t[0] == w[0]] or short
         if short and len(words) > 2:
             # of several trades none is taken, but the word is no part of the name itself
             return (short[0] if len(short) == 1 else None), i
+    # a name of three words or more whose trade isn't known: its last word tells what it does
+    if len(words) > 2 and len(words[-1]) > 3:
+        return words[-1], len(words) - 1
     return None, -1
 
 
 def _trades(names: DataFrame) -> list[str]:
-    """Words that stand beside many different words: a share of all, so their number is bounded by the share, not by the data."""
-    words = F.udf(lambda s: tokens_of(s)[0], "array<string>")
-    held = names.select(words("company").alias("w"))
-    sides = held.select(F.explode("w").alias("a"), "w").select("a", F.explode("w").alias("b")).where("a <> b and length(a) >= 4")
+    """Words that end the names they stand in, and stand beside many different words there: measures that don't depend on how many names there are.
+
+    Own words of a name stand beside their few companions and those's misspellings, which begin alike; trades stand
+    beside many. Misspellings and short forms of a trade with more companions are no trades of their own.
+    """
+
+    def cut_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for name in df["company"]:
+                words = tokens_of(name)[0]
+                rows.extend((w, i == len(words) - 1, sorted({x[:2] for x in words if x != w})) for i, w in enumerate(words) if len(w) >= 4)
+            yield pd.DataFrame(rows, columns=["w", "last", "sides"])
+
+    held = names.select("company").mapInPandas(cut_names, "w string, last boolean, sides array<string>")
     n = names.count()
-    bar = max(TRADE_LEAST, int(n * TRADE_SHARE))
-    found = [r.a for r in sides.groupBy("a").agg(F.count_distinct("b").alias("n")).where(F.col("n") >= bar).select("a").collect()]
-    # frequent abbreviations of a trade, and frequent misspellings, are no trades of their own
-    return sorted(w for w in found if not any(short_for(w, t) for t in found))
+    found = held.groupBy("w").agg(F.count_if("last").alias("ends"), F.count("*").alias("n"), F.flatten(F.collect_set("sides")).alias("sides"))
+    found = found.select("w", "ends", "n", F.size(F.array_distinct("sides")).alias("sides")).where((F.col("sides") >= BEGINNINGS) & (F.col("ends") >= LAST_SHARE * F.col("n")) & (F.col("ends") >= LEAST_SHARE * n))
+    trades: list[str] = []
+    for r in found.orderBy(F.desc("sides"), F.desc("ends"), "w").collect():
+        if not any(short_for(r.w, t) or osa(r.w, t, 2) <= 2 for t in trades):
+            trades.append(r.w)
+    return sorted(trades)
 
 
 def parsed_names(names: DataFrame, trades: list[str]) -> DataFrame:
-    """company, form, words (sorted), trade, key. form: full, joined (one word of two), short (one word of several, or an initial)."""
+    """company, form, words (sorted), trade, key, and word and word_trade of a name that can be read in two ways.
+
+    form: full, joined (one word of two), single or initial (one word of several, or an initial); either: two words of
+    which one may be a misspelt trade or not. Its words and key are those of a full name, word and word_trade those of a single one.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple] = {}
         for df in batches:
             rows = []
             for name in df["company"]:
                 words, joined = tokens_of(name)
                 trade, at = trade_of(words, trades)
                 own = [w for i, w in enumerate(words) if i != at]
+                word = word_trade = None
                 if len(own) == 1 and joined and not trade:
                     form = "joined"
                 elif any(len(w) == 1 for w in own) and len(own) > 1:
                     form = "initial"
+                elif len(own) == 1 and len(words) == 2 and at >= 0 and words[at] not in trades and min(map(len, words)) > 3:
+                    form, word, word_trade, own, trade = "either", own[0], trade, words, None
                 elif len(own) == 1:
                     form = "single"
                 else:
                     form = "full"
                 own = sorted(own)
-                rows.append((name, form, own, trade, " ".join(own) + "|" + (trade or "")))
-            yield pd.DataFrame(rows, columns=["company", "form", "words", "trade", "key"])
+                rows.append((name, form, own, trade, " ".join(own) + "|" + (trade or ""), word, word_trade))
+            yield pd.DataFrame(rows, columns=["company", "form", "words", "trade", "key", "word", "word_trade"])
 
-    return names.mapInPandas(parse, "company string, form string, words array<string>, trade string, key string")
+    return names.mapInPandas(parse, "company string, form string, words array<string>, trade string, key string, word string, word_trade string")
 
 
-def segment_pairs(texts: DataFrame, k: int | Callable[[int], int] = EDITS, most: int = EDITS) -> DataFrame:
-    """x, y (x < y): pairs of the distinct texts (column s) that may lie within k edits, by one common segment near its place. With a column u, one of the two has it true.
+def segment_pairs(texts: DataFrame, tiers: list[tuple[int, int]] = ((1, EDITS),)) -> DataFrame:  # type: ignore[assignment]
+    """x, y (x < y), d: pairs of the distinct texts (column s) within k edits, by one common segment near its place. With a column u, one of the two has it true.
 
-    k: a number, or that for each length of the shorter text, rising with it and ``most`` at most; below 0 for texts that take no part.
+    tiers: least length of the shorter text and the edits allowed from there on, both rising; shorter texts take no part.
+    Segments and substrings are built-in expressions; the banded distance takes pairs in Arrow batches.
     """
-    if isinstance(k, int):
-        most = k
-    edits = k if callable(k) else lambda n: most
-
-    def cuts(n: int) -> list[tuple[int, int]]:
-        e = edits(n)
-        return [(i * n // (e + 1), (i + 1) * n // (e + 1)) for i in range(e + 1)]
-
-    def segments(s: str) -> list[tuple[int, int, str]]:
-        n = len(s)
-        return [(n, i, s[a:b]) for i, (a, b) in enumerate(cuts(n)) if b > a]
-
-    def substrings(s: str) -> list[tuple[int, int, str]]:
-        out = set()
-        for n in range(max(1, len(s) - most), len(s) + 1):  # the indexed text is the shorter one
-            e = edits(n)
-            if len(s) - n > e:
-                continue
-            for i, (a, b) in enumerate(cuts(n)):
+    most = max(e for _, e in tiers)
+
+    def edits(n: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for least, e in tiers:
+            out = F.when(n >= least, F.lit(e)).otherwise(out)
+        return out
+
+    def cuts(n: Column, e: Column) -> Column:
+        """Begin and length of the e + 1 segments of a text of n letters, empty ones left out."""
+        at = lambda i: F.floor(i * n / (e + 1)).cast("int")
+        every = F.transform(F.sequence(F.lit(0), e), lambda i: F.struct(i.cast("int").alias("i"), at(i).alias("a"), (at(i + 1) - at(i)).alias("l")))
+        return F.filter(every, lambda c: c["l"] > 0)
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    def segments(s: Column) -> Column:
+        n = F.length(s)
+        return F.transform(cuts(n, edits(n)), lambda c: F.struct(n.alias("n"), c["i"].alias("i"), F.substring(s, c["a"] + 1, c["l"]).alias("g")))
+
+    def substrings(s: Column) -> Column:
+        whole = F.length(s)
+
+        def of_length(n: Column) -> Column:
+            def near(e: Column) -> Column:
                 # edits before a segment shift it by so many places at most
-                for at in range(max(0, a - e), min(len(s) - (b - a), a + e) + 1):
-                    if b > a:
-                        out.add((n, i, s[at : at + b - a]))
-        return list(out)
+                def of_cut(c: Column) -> Column:
+                    begin, end = F.greatest(F.lit(0), c["a"] - e), F.least(whole - c["l"], c["a"] + e)
+                    return F.when(begin <= end, F.transform(F.sequence(begin, end), lambda p: F.struct(n.cast("int").alias("n"), c["i"].alias("i"), F.substring(s, p + 1, c["l"]).alias("g"))))
+
+                return F.when(whole - n <= e, F.flatten(F.filter(F.transform(cuts(n, e), of_cut), lambda x: x.isNotNull())))
+
+            return once(edits(n), near)
+
+        # the indexed text is the shorter one
+        every = F.transform(F.sequence(F.greatest(F.lit(1), whole - most), whole), of_length)
+        return F.array_distinct(F.flatten(F.filter(every, lambda x: x.isNotNull())))
+
+    def distances(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x, y):
+            short = min(len(a), len(b))
+            e = max((k for least, k in tiers if short >= least), default=-1)
+            d = osa(a, b, e) if e >= 0 else e + 1
+            out.append(d if d <= e else None)
+        return pd.Series(out, dtype="Int32")
 
-    kind = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField("g", T.StringType())]))
     marked = "u" in texts.columns
     wanted = F.col("ux") | F.col("uy") if marked else F.lit(True)
-    index = texts.select(F.col("s").alias("x"), *[F.col("u").alias("ux")] * marked, F.inline(F.udf(segments, kind)("s")))
-    probe = texts.select(F.col("s").alias("y"), *[F.col("u").alias("uy")] * marked, F.inline(F.udf(substrings, kind)("s")))
+    held = texts.where(F.length("s") >= min(n for n, _ in tiers))
+    index = held.select(F.col("s").alias("x"), *[F.col("u").alias("ux")] * marked, F.inline(segments(F.col("s"))))
+    probe = texts.where(F.length("s") >= 1).select(F.col("s").alias("y"), *[F.col("u").alias("uy")] * marked, F.inline(substrings(F.col("s"))))
     # a segment that thousands of texts hold is split by AQE; Levenshtein distance bounds the other from above by its double
     met = index.join(probe, ["n", "i", "g"]).where((F.col("x") != F.col("y")) & wanted & (F.levenshtein("x", "y", 2 * most) >= 0))
-    def distance(a: str, b: str) -> int | None:
-        e = edits(min(len(a), len(b)))
-        d = osa(a, b, e)
-        return d if d <= e else None
-
-    near = F.udf(distance, "int")
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).dropDuplicates().withColumn("d", near("x", "y")).where("d is not null")
+    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).dropDuplicates()
+    return pairs.withColumn("d", F.pandas_udf(distances, "int")("x", "y")).where("d is not null")
 
 
 def _either_way(pairs: DataFrame) -> DataFrame:
@@ -183,7 +227,7 @@ def _either_way(pairs: DataFrame) -> DataFrame:
 
 def word_pairs(texts: DataFrame) -> DataFrame:
     """x, y, d, either way round: misspellings among single words (column s; u as in segment_pairs): one edit from eight letters on, two from twelve on; shorter words one edit apart are mostly different names."""
-    return _either_way(segment_pairs(texts, lambda n: 2 if n >= 12 else 1 if n >= 8 else -1))
+    return _either_way(segment_pairs(texts, [(8, 1), (12, 2)]))
 
 
 def _resolved(tree: DataFrame) -> DataFrame:
@@ -221,23 +265,40 @@ def organisations(companies: DataFrame, k: int = EDITS) -> DataFrame:
     named = parsed_names(names.select("company"), _trades(names)).join(names, "company")
     named = cut(named)
     # keys of full names, with their support
-    full = named.where("form = 'full'").groupBy("key", "words", "trade").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    whole = named.where("form in ('full', 'either')")
+    full = whole.groupBy("key", "words", "trade").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
     glues = F.explode(F.array_distinct(F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), "")))).alias("s")
     # 1: misspelt full names
     joined = full.select("key", "trade", "n", "rows", glues)
-    tree = _tree(joined, _either_way(segment_pairs(joined.select("s").distinct(), k)))
+    tree = _tree(joined, _either_way(segment_pairs(joined.select("s").distinct(), [(1, k)])))
+    # names that can be read in two ways and are near to no other full name are read the other way
+    size = tree.groupBy("root").agg(F.count("*").alias("keys"))
+    lone = cut(whole.groupBy("key").agg(F.count_if(F.col("form") == "full").alias("sure")).join(tree, "key").join(size, "root").where("sure = 0 and keys = 1").select("key"))
+    named = cut(named.join(lone.withColumn("__lone", F.lit(True)), "key", "left").select(
+        "company", "rows", F.when(F.col("__lone"), "single").when(F.col("form") == "either", "full").otherwise(F.col("form")).alias("form"),
+        *[F.when(F.col("__lone"), b).otherwise(F.col(a)).alias(a) for a, b in (("words", F.array("word")), ("trade", F.col("word_trade")), ("key", F.concat(F.col("word"), F.lit("|"), F.coalesce("word_trade", F.lit("")))))],
+    ))
+    full = full.join(lone, "key", "left_anti")
+    tree = cut(tree.join(lone, "key", "left_anti"))
     roots = full.join(tree, "key").where("key = root").select("root", "words", "trade", "n", "rows")
     spelled = named.where("form = 'full'").join(tree, "key").select("company", "root")
     # 2: short forms: all words of one root joined, in either order; one word, or an initial and a word, perhaps with a trade
     part = roots.select("root", F.col("trade").alias("rt"), "words", "n", "rows", F.explode("words").alias("s"))
-    targets = part.unionAll(roots.select("root", F.col("trade").alias("rt"), "words", "n", "rows", glues)).dropDuplicates(["root", "s"])
+    targets = cut(part.unionAll(roots.select("root", F.col("trade").alias("rt"), "words", "n", "rows", glues)).dropDuplicates(["root", "s"]))
+    # the same of the other spellings of a root
+    other = full.join(tree, "key").where("key <> root").join(roots.select("root", F.col("trade").alias("rt"), F.col("n").alias("rn"), F.col("rows").alias("rr")), "root").select("root", "rt", "words", F.col("rn").alias("n"), F.col("rr").alias("rows"), F.explode("words").alias("s"))
+    variants = other.join(targets.select("root", "s"), ["root", "s"], "left_anti").dropDuplicates(["root", "s"])
     # an initial takes its word to look it up, and all it has as its own text
     own = F.when(F.col("form") == "initial", F.get(F.filter("words", lambda w: F.length(w) > 1), F.lit(0))).otherwise(F.col("words")[0])
     letter = F.when(F.col("form") == "initial", F.get(F.filter("words", lambda w: F.length(w) == 1), F.lit(0)))
     brief = named.where("form <> 'full'").groupBy("key", "trade", own.alias("s"), letter.alias("letter"), F.array_join("words", "").alias("text")).agg(F.count("*").alias("bn"), F.sum("rows").alias("brows"))
     fits = "(trade is null or trade <=> rt) and (letter is null or exists(words, x -> x <> {} and startswith(x, letter)))"
-    exact = brief.join(targets, "s").where(fits.format("s")).groupBy("key").agg(F.count_distinct("root").alias("n"), F.min("root").alias("root"))
-    exact = cut(exact)
+
+    def meant(rows: DataFrame, by: DataFrame) -> DataFrame:
+        return rows.join(by, "s").where(fits.format("s")).groupBy("key").agg(F.count_distinct("root").alias("n"), F.min("root").alias("root"))
+
+    exact = cut(meant(brief, targets))
+    exact = cut(exact.unionAll(meant(brief.join(exact, "key", "left_anti"), variants)))
     # 3: what is no part of a full name may be a misspelt part of just one that is better supported, or else an organisation of its own
     rest = cut(brief.join(exact, "key", "left_anti"))
     texts = targets.select("s", F.lit(False).alias("u")).unionAll(rest.select("s", F.lit(True))).unionAll(rest.select("text", F.lit(True))).groupBy("s").agg(F.max("u").alias("u"))
