@@ -4,8 +4,9 @@ A multi-pattern automaton over the canonical names and aliases finds the mention
 ones the longest wins. Values without a mention go to a token-set similarity: each word of an entry must be met by a
 word of the value, whatever their order, with a few edits for longer words or as an abbreviation.
 
-The reference list is small and of fixed size (checked); it is shipped to the tasks, and values are resolved where
-they are read, each distinct value once per task: no shuffle.
+The reference list is shipped to the tasks, as long as it has MOST_ENTRIES entries at most; a longer one raises an error.
+Values are resolved where they are read, each distinct value once per task: no shuffle. A typed word meets the words of
+the list by an index of segments, not one by one.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.llm.names import osa
 from millrace.session import is_blank
 
-#: Reference lists beyond this many entries would have to be joined, not shipped.
+#: Reference lists beyond this many entries are not shipped.
 MOST_ENTRIES = 100_000
 #: Values a task remembers; a cache only.
 REMEMBERED = 500_000
 
 # Letters that don't decompose, and short forms of words in place names and roles.
 LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i"})
-PLACE_SHORT = {"st": "saint", "ste": "saint", "mt": "mount", "ft": "fort", "pt": "port", "lwr": "lower", "n": "new", "s": "san"}
+PLACE_SHORT = {"st": "saint", "ste": "saint", "mt": "mount", "ft": "fort", "pt": "port"}
 ROLE_SHORT = {"eng": "engineer", "engr": "engineer", "dev": "developer", "mgr": "manager", "admin": "administrator", "coord": "coordinator", "spec": "specialist", "rep": "representative", "asst": "assistant", "ops": "operations", "qa": "quality assurance", "hr": "human resources", "sre": "site reliability engineer", "ml": "machine learning", "bi": "business intelligence"}
 #: Words that change nothing in what is meant.
 ROLE_NOISE = set("senior junior sr jr lead principal staff graduate experienced mid entry level intermediate trainee intern head chief i ii iii iv v all genders m f d w x remote hybrid onsite on site night day shift part full time contract permanent temporary fixed term urgent hiring months month the of and a an in for to".split())
@@ -42,8 +43,24 @@ def normal(text: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", plain))
 
 
+def allowed_for(n: int) -> int:
+    return 1 if n < 5 else 2 if n < 9 else 3
+
+
 def allowed(word: str) -> int:
-    return 1 if len(word) < 5 else 2 if len(word) < 9 else 3
+    return allowed_for(len(word))
+
+
+def cuts(n: int) -> list[tuple[int, int]]:
+    """Begins and ends of the segments of a word of n letters: two more than the edits it allows, as an exchange of neighbours may touch two (several that all cross borders may be missed)."""
+    k = min(n, allowed_for(n) + 2)
+    return [(i * n // k, (i + 1) * n // k) for i in range(k)]
+
+
+def stands_for(short: str, whole: str) -> bool:
+    """Whether a typed word of up to three letters is a short form of a longer one: its first letter, and the others in order."""
+    it = iter(whole)
+    return len(short) < min(4, len(whole)) and short[0] == whole[0] and all(c in it for c in short)
 
 
 def abbreviates(word: str, whole: str) -> bool:
@@ -99,6 +116,28 @@ class Resolver:
         self.stems, self.endings = self._branches(self.vocabulary), {x[::-1] for x in self._branches([v[::-1] for v in self.vocabulary])}
         self.near: dict[str, dict[str, int]] = {}
         self.known: dict[str, int] = {}
+        # each word under its segments, one more than the edits it allows: of two words within them one stands unchanged
+        self.segments: dict[tuple[int, int, str], list[str]] = {}
+        self.initials: dict[str, list[str]] = {}
+        for v in self.vocabulary:
+            for i, (a, b) in enumerate(cuts(len(v))):
+                self.segments.setdefault((len(v), i, v[a:b]), []).append(v)
+            self.initials.setdefault(v[0], []).append(v)
+
+    def within(self, word: str) -> Iterator[tuple[str, int]]:
+        """Words of the list within the edits that they allow, with the distance: looked up by shifted substrings, verified in a band."""
+        met: dict[str, None] = {}
+        for n in range(max(1, len(word) - 3), len(word) + 4):
+            k = allowed_for(n)
+            if abs(n - len(word)) > k:
+                continue
+            for i, (a, b) in enumerate(cuts(n)):
+                # a transposition over a border counts as two edits of neighbours, so one place more
+                for at in range(max(0, a - k), min(len(word) - (b - a), a + k) + 1):
+                    met.update(dict.fromkeys(self.segments.get((n, i, word[at : at + b - a]), ())))
+        for v in met:
+            if (d := osa(word, v, allowed(v))) <= allowed(v):
+                yield v, d
 
     def expand(self, text: str) -> str:
         return " ".join(self.short.get(w, w) for w in text.split())
@@ -124,21 +163,20 @@ class Resolver:
             if word in self.holding:
                 got[word] = 0
                 if not self.coined and len(word) < 6:
-                    got |= {v: 1 for v in self.vocabulary if v not in self.joined and abbreviates(word, v)}
+                    got |= {v: 1 for v in self.initials.get(word[0], ()) if v not in self.joined and abbreviates(word, v)}
             elif not (self.coined and self.well_formed(word)):
-                for v in self.vocabulary:
-                    k = allowed(v)
-                    if abs(len(v) - len(word)) <= k and (d := osa(word, v, k)) <= k:
-                        got[v] = d
-                    elif not self.coined and v not in self.joined and abbreviates(word, v):
-                        got[v] = 1
+                got.update(self.within(word))
+                if not self.coined:
+                    got |= {v: 1 for v in self.initials.get(word[0], ()) if v not in got and v not in self.joined and abbreviates(word, v)}
             if len(self.near) > REMEMBERED:
                 self.near.clear()
             self.near[word] = got
         return got
 
     def pick(self, found: list[Entry], text: str) -> int:
-        """One of several entries of the same name: the one whose surroundings are mentioned."""
+        """One of several entries of the same name: the one whose surroundings are mentioned; 0 for none."""
+        if not found:
+            return 0
         if len(found) == 1:
             return found[0].ref_id
         words = text.split()
@@ -192,7 +230,19 @@ class Resolver:
             if strong and (r := self.pick(strong, text)):
                 return r
             weak = weak or next((e.ref_id for e in self.of[n] if e.weak), 0)
-        return self.by_words(text) or weak
+        return self.by_words(text) or self.by_heads(text) or weak
+
+    def by_heads(self, text: str) -> int:
+        """The entry meant where a short word stands for the first word of longer names ("N Bay" for "North Bay"): only if just one is found."""
+        words = text.split()
+        found: set[int] = set()
+        for i, w in enumerate(words[:-1]):
+            if len(w) < 4 and w not in self.heads and not w.isdigit():
+                for h in self.heads:
+                    if stands_for(w, h):
+                        full = " ".join((*words[:i], h, *words[i + 1 :]))
+                        found |= {r for n in self.mentions(full) if h in n.split() for r in [self.pick([e for e in self.of[n] if not e.weak], full)] if r}
+        return found.pop() if len(found) == 1 else 0
 
     def by_words(self, text: str) -> int:
         words = [w for w in text.split() if not w.isdigit()]
@@ -227,15 +277,20 @@ class Resolver:
         return len(word) > 4 and any(osa(word, a, 2) <= 2 for a in self.around_words if abs(len(a) - len(word)) <= 2 and len(a) > 4)
 
 
+def _shippable(rows: list) -> None:
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries: too many to be shipped to the tasks")
+
+
 def place_entries(ref: DataFrame) -> list[Entry]:
     rows = ref.select("ref_id", "city", "region_code", "region_name", "country_code", "country_name", "aliases").limit(MOST_ENTRIES + 1).collect()
-    assert len(rows) <= MOST_ENTRIES, "the reference list is too long to be shipped"
+    _shippable(rows)
     return [Entry(r.ref_id, [r.city, *(r.aliases or [])], [r.region_code, r.region_name, r.country_code, r.country_name], weak=r.country_code is None and r.region_code is None) for r in rows if r.city]
 
 
 def role_entries(ref: DataFrame) -> list[Entry]:
     rows = ref.select("ref_id", "role_name", "aliases").limit(MOST_ENTRIES + 1).collect()
-    assert len(rows) <= MOST_ENTRIES, "the reference list is too long to be shipped"
+    _shippable(rows)
     return [Entry(r.ref_id, [r.role_name, *(r.aliases or [])]) for r in rows if r.role_name]
 
 
