@@ -81,15 +81,20 @@ def title_stem(c: Column) -> Column:
 
 
 def shingles(c: Column, n: int = 3) -> Column:
-    """Distinct runs of n words of a text; all words joined, if there are fewer; empty for no words."""
+    """Distinct runs of n words of a text; all words joined, if there are fewer; empty for no words. Put it behind a generator where it has several uses."""
     words = tokens(normalize_text(c))
-    # the inner lambda sees the words through a struct, so they are cut once
+    # the inner lambda sees the words through an array, so they are cut once
     runs = F.transform(F.array(words), lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
     ))
     return F.array_distinct(runs[0])
 
 
+def fingerprint(s: Column) -> Column:
+    """Hash of sorted shingles; empty for none."""
+    return F.when(F.size(s) > 0, F.sha1(F.array_join(F.array_sort(s), "|"))).otherwise("")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct values: 1 if both are empty, 0 if one is."""
     common = F.size(F.array_intersect(a, b))
@@ -97,9 +102,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def description_fingerprint(c: Column) -> Column:
-    """Hash of the sorted shingles; empty for a text without words."""
-    s = shingles(c)
-    return F.when(F.size(s) > 0, F.sha1(F.array_join(F.array_sort(s), "|"))).otherwise("")
+    """Hash of the sorted shingles of a text; empty for a text without words."""
+    return F.transform(F.array(shingles(c)), fingerprint)[0]
 
 
 def skill(c: Column) -> Column:

@@ -38,12 +38,16 @@ def canonical_url(c: Column) -> Column:
     return F.when(s == "", "").otherwise(F.concat(scheme, F.lit("://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+# Where the sources' addresses hold the id of a posting, and where any other address may.
+POSTING_RULES = {"greenhouse": r"/jobs/(\d{5,})", "lever": r"lever\.co/(?:[\w-]+/)?([a-z0-9-]{8,})(?:/|$|\?)", "remoteok": r"/(\d{4,})[a-z0-9-]*", "adzuna": r"/ad/(\d{4,})", "linkedin": r"/jobs/view/(\d{7,})"}
+POSTING_NUMBER = r"/(\d{8,})(?:/|\?|$)"
+
+
 def posting_id(source: Column, url: Column, given: Column | None = None) -> Column:
     """Posting id by the rule of the source, else the given one, else a long number at the end of the URL."""
     u = F.coalesce(url, F.lit(""))
-    rules = {"greenhouse": r"/jobs/(\d{5,})", "lever": r"lever\.co/(?:[\w-]+/)?([a-z0-9-]{8,})(?:/|$|\?)", "remoteok": r"/(\d{4,})[a-z0-9-]*", "adzuna": r"/ad/(\d{4,})", "linkedin": r"/jobs/view/(\d{7,})"}
     own = F.lit("")
-    for name, rule in rules.items():
+    for name, rule in POSTING_RULES.items():
         own = F.when(F.lower(F.coalesce(source, F.lit(""))) == name, F.regexp_extract(u, rule, 1)).otherwise(own)
-    last = F.regexp_extract(u, r"/(\d{8,})(?:/|\?|$)", 1)
+    last = F.regexp_extract(u, POSTING_NUMBER, 1)
     return F.coalesce(F.nullif(own, F.lit("")), F.nullif(given, F.lit("")) if given is not None else F.lit(None).cast("string"), last)

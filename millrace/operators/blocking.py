@@ -11,6 +11,7 @@ from millrace.functions.text import jaccard, location_bucket, location_words, no
 from millrace.functions.urls import norm_domain, url_domain
 from millrace.session import cut, utrim
 
+# Floor of the titles, scores of a merge and of a review, score of one company.
 TITLE_FLOOR, HIGH, REVIEW, SAME_COMPANY = 0.75, 0.88, 0.80, 0.60
 
 

@@ -160,8 +160,9 @@ def posting_ids(spark, d):
 
 @query(f"select job_row_id, len(s) as n_shingles, case when len(s) > 0 then sha1(array_to_string(list_sort(s), '|')) else '' end as fingerprint from (select job_row_id, {_shingles('description')} as s from jobs)")
 def description_fingerprints(spark, d):
-    c = F.col("description")
-    return table(spark, d, "jobs").select("job_row_id", F.size(X.shingles(c)).alias("n_shingles"), X.description_fingerprint(c).alias("fingerprint"))
+    # behind a generator the shingles are made once for both uses
+    rows = table(spark, d, "jobs").select("job_row_id", F.explode(F.array(X.shingles(F.col("description")))).alias("s"))
+    return rows.select("job_row_id", F.size("s").alias("n_shingles"), X.fingerprint(F.col("s")).alias("fingerprint"))
 
 
 @query(f"select text_key, count(*) as n, min(doc_id) as first_id, max(doc_id) as last_id from (select doc_id, sha1({_norm('text')}) as text_key from documents where text is not null) group by text_key having count(*) > 1")
@@ -249,10 +250,9 @@ FIELDS = ["title", "company", "location", "description", "employer_domain", "app
 
 
 def _hash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Incoming rows with the stored rows of their posting id."""
-    left = table(spark, d, "incoming_jobs").where("posting_id is not null").select("posting_id", F.col("job_row_id").alias("id1"), *[F.col(c).alias(c + "1") for c in FIELDS])
-    right = table(spark, d, "jobs").where("posting_id is not null").select("posting_id", F.col("job_row_id").alias("id2"), *[F.col(c).alias(c + "2") for c in FIELDS])
-    return left.join(right, "posting_id").drop("posting_id")
+    """Incoming rows with the stored rows of their posting id, each with the terms of its score, worked out before the join: no description travels."""
+    sides = [blocking.terms(table(spark, d, t).where("posting_id is not null").select("posting_id", F.col("job_row_id").alias(f"id{i}"), *FIELDS), i) for i, t in ((1, "incoming_jobs"), (2, "jobs"))]
+    return sides[0].join(sides[1], "posting_id").drop("posting_id")
 
 
 def _pairs_sql() -> str:
@@ -275,7 +275,7 @@ def _pairs_sql() -> str:
 
 @query(_pairs_sql())
 def composite_pairs(spark, d):
-    s = blocking.scored(_hash_pairs(spark, d))
+    s = blocking.scored_terms(_hash_pairs(spark, d))
     return s.select("id1", "id2", F.round("jw_title", 6).alias("title_similarity"), F.round("c_company", 6).alias("company_similarity"), F.round("score", 6).alias("score"), "verdict")
 
 
@@ -485,10 +485,17 @@ def platt_apply(spark, d):
     return _labelled(spark, d).groupBy(F.round(E.sigmoid(2.0 * F.col("score") - 1.0), 9).alias("p")).agg(F.count("*").alias("n"))
 
 
-@query()
+_OFF = "q.n / (1 + exp(-(a * q.x + b))) - q.n * q.y"
+
+
+@query(
+    f"""with recursive p as (select list({{x: x, y: y, n: n}}) as l, sum(n) as t from (select round(least(greatest(score, 0), 1), 6) as x, label::double as y, count(*)::double as n from ({_LABELLED}) group by 1, 2)),
+        g(k, a, b) as (select 0, 1.0::double, 0.0::double union all select k + 1, a - 0.5 * list_sum(list_transform(l, lambda q: ({_OFF}) * q.x)) / t, b - 0.5 * list_sum(list_transform(l, lambda q: {_OFF})) / t from g, p where k < 300)
+        select round(a, 6) as a, round(b, 6) as b from g where k = 300"""
+)
 def platt_fit(spark, d):
     a, b = E.platt_fit(_labelled(spark, d), "label", "score")
-    return spark.range(1).select(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    return spark.range(1).select(F.round(F.lit(a), 6).alias("a"), F.round(F.lit(b), 6).alias("b"))
 
 
 _FS = ["title", "company", "location"]
