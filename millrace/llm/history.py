@@ -68,7 +68,7 @@ def losses(t: float, n: np.ndarray) -> np.ndarray:
 
 def post_chunks(texts: DataFrame, steps: np.ndarray, n_parts: int, t: float, probe: bool) -> DataFrame:
     """part, blob: the entries of records (s1, s2, ref, words) in the chunk table. Entries of a hot chunk are spread over blocks; as a ``probe`` they go to all of them."""
-    given = texts.sparkSession.sparkContext.broadcast(steps)  # 16 MB at most
+    given = texts.sparkSession.sparkContext.broadcast(steps)  # 32 MB at most
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = given.value

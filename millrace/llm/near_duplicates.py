@@ -55,7 +55,7 @@ def shingle_counts(texts: DataFrame, width: int, total: int) -> np.ndarray:
 
 def post_sets(texts: DataFrame, width: int, t: float, table: np.ndarray, n_parts: int) -> DataFrame:
     """part, blob: the entries of each set of texts (ref, words), spread over partitions by their root shingle. A posting takes the same bytes whatever n_parts."""
-    given = texts.sparkSession.sparkContext.broadcast(table)  # 16 MB at most
+    given = texts.sparkSession.sparkContext.broadcast(table)  # 32 MB at most
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = given.value

@@ -11,10 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm import shingles as S
+from millrace.session import written
 
 EPS = 1e-9
-#: Widths of the table of counts (powers of two): a cell for sixteen tokens, within these bounds.
-NARROW, WIDE = 1 << 20, 1 << 24
+#: Widths of the table of counts (powers of two): a cell for two tokens, within these bounds.
+NARROW, WIDE = 1 << 20, 1 << 25
 #: Postings of one token that are compared in one task; longer lists are cut in blocks that meet in pairs.
 BLOCK = 4096
 #: Postings that one partition should hold.
@@ -76,16 +77,17 @@ def counted(df: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray], total
     """How often the tokens occur, as steps of frequency in a table addressed by hash; step 0 only for what stands once at most.
 
     The table's width follows ``total``, the number of tokens, between NARROW and WIDE. Each task sums its rows in one
-    table, tasks meet block by block, in two levels where they are many; the summed table (a byte a cell, 16 MB at
+    table, tasks meet block by block, in two levels where they are many; the summed table (a byte a cell, 32 MB at
     most) reaches the driver. What the cells hold on average is taken off as the share of other tokens.
     """
-    width = min(WIDE, max(NARROW, 1 << (total // 16).bit_length()))
+    width = min(WIDE, max(NARROW, 1 << max(0, total // 2 - 1).bit_length()))
     blocks = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(width, np.int64)
+        sums = np.zeros(width, np.uint32)
         for batch in batches:
-            np.add.at(sums, (tokens(batch) & np.uint64(width - 1)).astype(np.int64), 1)
+            cell, n = np.unique(tokens(batch) & np.uint64(width - 1), return_counts=True)
+            sums[cell.astype(np.int64)] += n.astype(np.uint32)
         if sums.any():
             task = TaskContext.get()
             lot = (task.partitionId() if task else 0) % 256
@@ -196,6 +198,9 @@ def verified(pairs: DataFrame, texts: DataFrame, t: float, width: int) -> DataFr
                 c, p, q = S.overlaps(texts_of(part, "x"), texts_of(part, "y"), width)
                 yield part.filter(pa.array(c >= t * (p + q - c) - EPS)).select(["a1", "a2", "b1", "b2"])
 
+    # written, so their size is known: where the refs are few the texts are filtered as they are read, else where they meet
+    pairs = written(pairs)
+    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("ref")), "ref", "left_semi")
     one = texts.groupBy("ref", "s1", "s2").agg(F.first("words").alias("words"))
     left = pairs.join(one.select(F.col("ref").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("words").alias("x")), "a")
     both = left.join(one.select(F.col("ref").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("words").alias("y")), "b")
