@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions.text import normalize_text
 
@@ -79,3 +80,41 @@ def platt_fit(df: DataFrame, label: str, score: str, steps: int = 300, rate: flo
         a -= rate * float((off * xs).sum()) / total
         b -= rate * float(off.sum()) / total
     return a, b
+
+
+PAIR_FIELDS = ["title", "company", "location", "description", "apply_url_direct"]
+
+
+def labelled_pairs(rows: DataFrame, key: str, seed: int = 42, buckets: int = 64) -> DataFrame:
+    """a, b (structs of PAIR_FIELDS), label, notes: each row with a rewritten copy of itself (1), and with the next other row in an order by hash (0).
+
+    What is rewritten, and which rows meet, follows from a hash of key and seed, so a run is repeated by its seed. Rows of one hash
+    bucket are put in order, so nothing is sorted as a whole. Rows without title make no pairs.
+    """
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    own = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in PAIR_FIELDS]
+    base = rows.where(F.coalesce(F.col("title"), F.lit("")) != "").select(F.col(key).alias("k"), h.alias("h"), F.struct(*own).alias("a"))
+    kind = F.pmod("h", F.lit(4))
+    words = F.split("a.description", " ")
+    shorter = F.array_join(F.transform(words, lambda w, i: F.when(i % 11 != F.pmod(F.col("h"), F.lit(11)), w)), " ")
+    copy = F.struct(
+        F.when(kind == 0, F.concat(F.lit("Senior "), F.col("a.title"))).when(kind == 1, F.upper("a.title")).otherwise(F.col("a.title")).alias("title"),
+        F.when((kind == 2) & (F.col("a.company") != ""), F.concat("a.company", F.lit(" Inc"))).otherwise(F.col("a.company")).alias("company"),
+        F.when((kind == 3) & (F.col("a.location") != ""), F.concat("a.location", F.lit(" (Remote)"))).otherwise(F.col("a.location")).alias("location"),
+        shorter.alias("description"), F.when(F.col("a.apply_url_direct") != "", F.concat("a.apply_url_direct", F.lit("?utm_source=x"))).otherwise("").alias("apply_url_direct"),
+    )
+    note = F.element_at(F.array(*[F.lit(x) for x in ("level added", "title in capitals", "company suffix", "remote added")]), (kind + 1).cast("int"))
+    same = base.select("a", copy.alias("b"), F.lit(1).alias("label"), note.alias("notes"))
+    after = F.lead("a").over(Window.partitionBy(F.pmod("h", F.lit(buckets))).orderBy("h", "k"))
+    other = base.select("a", after.alias("b")).where("b is not null")
+    differs = (normalize_text(F.col("a.title")) != normalize_text(F.col("b.title"))) | (normalize_text(F.col("a.company")) != normalize_text(F.col("b.company")))
+    return same.unionByName(other.where(differs).select("a", "b", F.lit(0).alias("label"), F.lit("another posting").alias("notes")))
+
+
+def pair_scores(pairs: DataFrame) -> DataFrame:
+    """label and score of labelled pairs (a, b, label), by the composite similarity; employers' domains aren't part of the pairs."""
+    from millrace.operators.blocking import scored
+
+    sides = [F.col(f"{s}.{c}").alias(f"{c}{i}") for i, s in ((1, "a"), (2, "b")) for c in PAIR_FIELDS]
+    none = [F.lit("").alias(f"employer_domain{i}") for i in (1, 2)]
+    return scored(pairs.select("label", *sides, *none)).select("label", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import dates as D, text as X
-from millrace.operators import dashboard as B, evidence as V, matching as M, packed, state
+from millrace.operators import dashboard as B, evaluation as E, evidence as V, matching as M, packed, state
 from millrace.plans import reference as R
 from millrace.plans.dates_sql import instants_sql
 from millrace.plans.problems import values_sql
@@ -289,6 +289,12 @@ def merge_state(spark, d):
     return out.select("job_row_id", "last_seen_at", "title", "apply_url_direct", "merged", F.size("source_names").alias("n_sources"))
 
 
+@query()
+def pair_benchmark(spark, d):
+    """Precision, recall and F1 of the composite similarity on pairs made of the stored postings, at its thresholds."""
+    return E.prf(E.pair_scores(E.labelled_pairs(table(spark, d, "jobs"), "job_row_id")), "label", "score", [0.75, 0.80, 0.88])
+
+
 # ---- texts ------------------------------------------------------------------------------------------------------
 _PAGE = f"substr({_trim(f"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?s)<[a-zA-Z/!][^>]*>', ' ', 'g'), '{R.WS}+', ' ', 'g')")}, 1, 4000)"
 

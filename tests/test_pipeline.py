@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import dates as D, text as X
-from millrace.operators import dashboard as B, evidence as V, matching as M, state
+from millrace.operators import dashboard as B, evaluation as E, evidence as V, matching as M, state
 from millrace.plans import pipeline
 from millrace.sinks import reports as K
 from millrace.sources import feeds as S
@@ -173,6 +173,16 @@ def test_archive_and_pairs(spark, tmp_path):
     assert S.read_pairs(spark, str(tmp_path / "pairs.jsonl")).first().a.title == "x"
 
 
+def test_labelled_pairs(spark):
+    df = spark.createDataFrame([(i, f"Title {i}", f"C{i % 7}", "L", "one two three four five six seven eight nine ten eleven twelve " * 3, "https://u") for i in range(200)] + [(999, None, None, None, None, None)], "job_row_id long, title string, company string, location string, description string, apply_url_direct string")
+    pairs = E.labelled_pairs(df, "job_row_id", buckets=4).cache()
+    n = dict(pairs.groupBy("label").count().collect())
+    assert n[1] == 200 and 150 <= n[0] <= 200 and pairs.exceptAll(E.labelled_pairs(df.repartition(5), "job_row_id", buckets=4)).count() == 0
+    got = {round(r.threshold, 2): r for r in E.prf(E.pair_scores(pairs), "label", "score", [0.75]).collect()}
+    assert got[0.75].recall > 0.5
+    assert E.labelled_pairs(df.limit(0), "job_row_id").count() == 0
+
+
 def test_texts(spark):
     df = spark.createDataFrame([("<p>a &amp; b&#8212;c</p>", '{"x": {"y": "}"}}'), ("plain", "```json\n{\"a\": 1}\n```"), (None, None), ("<script>x</script> Show More Show Less z", "no { object")], "h string, j string")
     got = df.select(X.description_text(F.col("h")), X.json_object(F.col("j")), X.guest_text(F.col("h"))).collect()
