@@ -13,6 +13,7 @@ import heapq
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ class Encoder:
             vocabulary = vocabulary_bytes(vocabulary)
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.lengths[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[tuple[int, int], int] = {}
         self.words: dict[str, tuple[int, ...]] = {}
@@ -131,7 +134,7 @@ class Encoder:
         if len(self.words) > REMEMBERED:
             self.words.clear()
         cut = [self.split(t) if t else [] for t in texts]
-        new = list({w for ws in cut for w in ws if w not in self.words})
+        new = list(set().union(*[set(ws).difference(self.words) for ws in cut]))
         # long words first fill a run of their own, so one batch never holds too many symbols at once
         for run in _runs(new):
             self.words.update(zip(run, self.merge(run)))
@@ -141,10 +144,7 @@ class Encoder:
         known = self.words
         out = []
         for ws in self.encode_words(texts):
-            ids: list[int] = []
-            for w in ws:
-                ids.extend(known[w])
-            out.append(ids)
+            out.append(list(chain.from_iterable(map(known.__getitem__, ws))))
         return out
 
 
@@ -202,9 +202,23 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None, o
         for batch in batches:
             for part in slices(batch, "t"):
                 ids = e.encode(part.column(1).to_pylist())
-                flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["k", "ids"])
 
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>")
     return rows.select(F.col("k").alias(key), F.col("ids").alias(out))
+
+
+def decoded(df: DataFrame, key: str, ids: str, path: str | None = None) -> DataFrame:
+    """key and text: what lists of ids stand for; bytes that are no UTF-8 show replacement marks. A null list gives an empty text."""
+    vocabulary = shipped(df, path or vocabulary_path())
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = encoder(vocabulary).bytes_of
+        for batch in batches:
+            texts = [b"".join([of[i] for i in x or ()]).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["k", "text"])
+
+    return df.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)

@@ -213,6 +213,10 @@ class ChunkStore:
             assert note["t"] == self.t, "the store was made for another likeness"
             self.steps, self.parts = np.frombuffer(row.steps, np.uint8), note["parts"]
             self.spark.sql(f"create table {self.table} (part int, blob binary, batch_no int) using parquet partitioned by (batch_no) clustered by (part) into {self.parts} buckets location '{self.path}/chunks'")
+            # the partitions of batches that were appended before
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/chunks")
+            if folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+                self.spark.sql(f"alter table {self.table} recover partitions")
 
     def land(self, records: DataFrame, key: str) -> None:
         """Normalise records (key, batch_no, job_id_hash, body, keys) and keep them by batch; nothing is accepted yet."""

@@ -107,7 +107,7 @@ def pack_corpus(df: DataFrame, key: str, text: str, budgets: list[tuple[int, str
                 for n, vocabulary in vocabularies.items():
                     e = encoder(vocabulary)
                     known = e.words
-                    sizes[n].append(np.array([sum(len(known[w]) for w in ws) for ws in e.encode_words(texts)], np.int64))
+                    sizes[n].append(np.array([sum(map(len, map(known.__getitem__, ws))) for ws in e.encode_words(texts)], np.int64))
         if not keys:
             return
         ids = pa.concat_arrays(keys)

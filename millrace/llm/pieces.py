@@ -9,6 +9,7 @@ taken, stronger kinds having a small bonus; ends of words are places only where
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,29 +28,55 @@ _ends = regex.compile(r"[.!?…。！？｡؟।][\"'”’»)\]]*$").search
 _wide = regex.compile(r"[。！？｡][”’」』）]*$").search
 
 
-def boundaries(words: list[str], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_known: dict[str, int] = {}
+_topics: dict[str, int] = {}
+_rows = np.zeros((1024, 9), np.int64)
+
+
+def _traits_of(w: str) -> tuple:
+    """Whether a word begins with white space, ends with it, is nothing else; line breaks of a blank word; return at its end, line feed at its beginning; kind of sentence end; wide full stop; number of its topic (-1: too short)."""
+    blank, bare = w.isspace(), w.strip().lower()
+    breaks = w.count("\n") + w.count("\r") - w.count("\r\n") if blank else 0
+    ends = SENTENCE if not w[-1].isalnum() and _ends(w) else 0
+    topic = _topics.setdefault(bare, len(_topics)) if len(bare) > 2 else -1
+    return w[0].isspace(), w[-1].isspace(), blank, breaks, w[-1] == "\r", w[0] == "\n", ends, w[-1] > "\u2000" and bool(_wide(w)), topic
+
+
+class Traits:
+    """What the words of a text tell about places, by columns. A worker remembers what it worked out; a cache only."""
+
+    def __init__(self, words: list[str]):
+        global _rows
+        if len(_known) > 1_000_000:
+            _known.clear(), _topics.clear()
+        new = [w for w in set(words) if w not in _known]
+        while len(_known) + len(new) > len(_rows):
+            _rows = np.concatenate((_rows, np.zeros_like(_rows)))
+        for w in new:
+            _rows[len(_known)] = _traits_of(w)
+            _known[w] = len(_known)
+        self.n = len(words)
+        of = np.fromiter(map(_known.__getitem__, words), np.int64, self.n)
+        self.begins, self.stops, self.blank, self.breaks, self.cr, self.nl, self.ends, self.wide, self.topic = _rows[of].T
+
+
+def boundaries(traits: Traits, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, token, kind) of the places before a word where a cut may be; tokens: how many lie before each word."""
-    at, kinds = [], []
-    k, n = 1, len(words)
-    while k < n:
-        before, w = words[k - 1], words[k]
-        if w[0].isspace() and not before[-1].isspace():
-            run = 1 if w.isspace() else 0
-            white = w if run else w[0]
-            while run and k + run < n and words[k + run].isspace():
-                white += words[k + run]
-                run += 1
-            breaks = white.replace("\r\n", "\n").replace("\r", "\n").count("\n")
-            at.append(k)
-            kinds.append(PARAGRAPH if breaks > 1 else LINE if breaks else SENTENCE if not before[-1].isalnum() and _ends(before) else WORD)
-            k += max(run, 1)
-        else:
-            if before[-1] > "\u2000" and _wide(before):
-                at.append(k)
-                kinds.append(SENTENCE)
-            k += 1
-    at = np.array(at, np.int64)
-    return at, tokens[at], np.array(kinds, np.int64)
+    n = traits.n
+    t = traits
+    place = np.zeros(n, bool)
+    place[1:] = (t.begins[1:] > 0) & (t.stops[:-1] == 0)
+    wide = np.zeros(n, bool)
+    wide[1:] = (t.wide[:-1] > 0) & ~place[1:]
+    # line breaks of the run of blank words that begins at a place; one that two words share counts once
+    breaks = t.breaks.copy()
+    breaks[1:] -= (t.cr[:-1] > 0) & (t.nl[1:] > 0) & (t.blank[:-1] > 0) & (t.blank[1:] > 0)
+    total = np.concatenate(([0], np.cumsum(breaks)))
+    solid = np.append(np.flatnonzero(t.blank == 0), n)
+    at = np.flatnonzero(place | wide)
+    run = total[solid[np.searchsorted(solid, at)]] - total[at]
+    kinds = np.where(wide[at], SENTENCE, np.where(run > 1, PARAGRAPH, np.where(run > 0, LINE, np.where(t.ends[at - 1] > 0, SENTENCE, WORD))))
+    return at, tokens[at], kinds
 
 
 def likenesses(bag: np.ndarray) -> np.ndarray:
@@ -94,11 +121,10 @@ class Splitter:
     """An encoded text with its places, cut for one or more budgets."""
 
     def __init__(self, e: Encoder, words: list[str]):
-        self.bytes_of = e.bytes_of
-        self.ids = [i for w in words for i in e.words[w]]
+        self.e, self.words = e, words
+        self.tokens = np.concatenate(([0], np.cumsum(np.fromiter(map(len, map(e.words.__getitem__, words)), np.int64, len(words)))))
         self.offsets: np.ndarray | None = None
         self.like: np.ndarray | None = None
-        self.words, self.tokens = words, np.concatenate(([0], np.cumsum([len(e.words[w]) for w in words])))
 
     def deepest(self, lo: int, hi: int) -> int:
         """The place from lo to hi where the deepest valley of the strong kinds lies, else of all."""
@@ -107,21 +133,24 @@ class Splitter:
         if len(places) == 1:
             return int(places[0])
         if self.like is None:
-            number: dict[str, int] = {}
-            self.like = likenesses(np.array([number.setdefault(w, len(number)) if len(w) > 2 else -1 for w in (w.strip().lower() for w in self.words)], np.int64))
+            self.like = likenesses(self.traits.topic)
         # of equal ones the last: a longer piece
         score = depth(self.like[self.at[places]]) + BONUS[self.kinds[places]]
         return int(places[len(score) - 1 - int(score[::-1].argmax())])
 
     def pieces(self, limit: int, overlap: int) -> Iterator[tuple[int, int, int, bytes]]:
         """(first token, end, kind of the end, bytes) of each piece; none for a text within the limit."""
-        ids, n = self.ids, len(self.ids)
+        n = int(self.tokens[-1])
         if n <= limit:
             return
+        bytes_of = self.e.bytes_of
         if self.offsets is None:
-            self.at, self.pos, self.kinds = boundaries(self.words, self.tokens)
-            parts = [self.bytes_of[i] for i in ids]
-            self.raw, self.offsets = b"".join(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            self.traits = Traits(self.words)
+            self.at, self.pos, self.kinds = boundaries(self.traits, self.tokens)
+            self.ids = np.fromiter(chain.from_iterable(map(self.e.words.__getitem__, self.words)), np.int64, n)
+            # the words are the whole text, cut
+            self.raw, self.offsets = "".join(self.words).encode("utf-8", "surrogatepass"), np.concatenate(([0], np.cumsum(self.e.lengths[self.ids])))
+        ids = self.ids
         pos, kinds = self.pos, self.kinds
         start = 0
         while True:
@@ -138,12 +167,22 @@ class Splitter:
                     break
             if not end:
                 end = start + limit
-                while end > start + overlap + 1 and self.bytes_of[ids[end]][0] & 0xC0 == 0x80:  # not within a character
+                while end > start + overlap + 1 and bytes_of[int(ids[end])][0] & 0xC0 == 0x80:  # not within a character
                     end -= 1
             yield start, end, kind, self.raw[self.offsets[start] : self.offsets[end]]
             start = end - overlap
 
 
+def _whole(raw: bytes) -> bytes:
+    """UTF-8 as it stands; where a piece begins or ends within a character, with replacement marks."""
+    tail = raw[-4:]
+    lead = next((i for i in range(len(tail) - 1, -1, -1) if tail[i] & 0xC0 != 0x80), -1)
+    size = 1 if lead < 0 or tail[lead] < 0x80 else 2 if tail[lead] < 0xE0 else 3 if tail[lead] < 0xF0 else 4
+    if raw[0] & 0xC0 == 0x80 or lead >= 0 and len(tail) - lead < size:
+        return raw.decode("utf-8", "replace").encode()
+    return raw
+
+
 def split_corpus(df: DataFrame, key: str, text: str, budgets: list[tuple[int, str, int, int]]) -> DataFrame:
     """budget_id, <key>, piece_no, token_start, n_tokens, ends_at, piece_text: the pieces of each document over the limit, for (budget, tokenizer, limit, overlap) of each budget.
 
@@ -172,7 +211,7 @@ def split_corpus(df: DataFrame, key: str, text: str, budgets: list[tuple[int, st
                         doc = Splitter(e, words)
                         for budget, n, limit, overlap in budgets:
                             if n == name:
-                                rows.extend((budget, k, i, a, b - a, KINDS[c], raw.decode("utf-8", "replace")) for i, (a, b, c, raw) in enumerate(doc.pieces(limit, overlap), 1))
+                                rows.extend((budget, k, i, a, b - a, KINDS[c], _whole(raw)) for i, (a, b, c, raw) in enumerate(doc.pieces(limit, overlap), 1))
                 if rows:
                     yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(schema, zip(*rows))})
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import canonical as C, near_duplicates as N
 from millrace.llm.history import ChunkStore, chunks_of, match_batches
-from millrace.llm.names import _resolved, company_pairs, osa
+from millrace.llm.names import _resolved, company_pairs, osa, segment_pairs
 from millrace.llm.near_duplicates import near_duplicate_rows
 from millrace.llm import postings as P
 from millrace.llm.shingles import word_hashes
@@ -184,6 +184,37 @@ def test_company_names_of_one_word(spark):
     assert {p for p in got if set(p) & ours} == want
 
 
+def test_doubtful_company_names(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice(["ba", "ke", "lo", "mi", "tu", "ra", "zo", "ne"]) for _ in range(4)).capitalize()
+    names = [f"{word()} {word()} {t}" for t in ("Media", "Marine", "Optics", "Robotics") for _ in range(20)]
+    # a word near to a trade is a misspelt trade only if the name isn't near to a full one
+    groups = [["Megita Gabusa Optics", "MEGIA GABUSA"], ["Fulonq Marrine", "Fulonq Marine"], ["Zasidu Mevagu Robotics Ltd", "Zasiidu Mevagu Rootics"], ["Stagestu Kovesq Aviation", "STAGESTU KOVESQ", "Kovesq Stagestu"]]
+    got = {tuple(r) for r in company_pairs(spark.createDataFrame([(n,) for n in [*names, *itertools.chain(*groups)]], "company string")).collect()}
+    ours = {n for g in groups for n in g}
+    assert {p for p in got if set(p) & ours} == {tuple(sorted(p)) for g in groups for p in itertools.combinations(g, 2)}
+
+
+def test_segment_pairs_are_those_of_brute_force(spark):
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(150)})
+    df = spark.createDataFrame([(w,) for w in words], "s string")
+    for tiers in ([(1, 1)], [(4, 1), (7, 2)]):
+        edits = lambda n: max((e for least, e in tiers if n >= least), default=-1)  # noqa: E731,B023
+        want = {(a, b) for a, b in itertools.combinations(words, 2) if 0 <= (e := edits(min(len(a), len(b)))) and plain_distance(a, b) <= e}
+        assert want <= {(r.x, r.y) for r in segment_pairs(df, tiers).collect()}
+
+
+def plain_distance(a, b):
+    last = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row = [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+        last = row
+    return last[-1]
+
+
 def test_long_chains_reach_their_root(spark):
     chain = spark.createDataFrame([(f"k{i}", f"k{max(i - 1, 0)}") for i in range(41)], "key string, root string")
     assert {r.root for r in _resolved(chain).collect()} == {"k0"}
@@ -198,6 +229,9 @@ def test_places_and_roles():
     cases = {"port abelby, northax": 1, "RR: Port Abelby": 2, "Port Ableby (Southax)": 2, "Corvholm": 3, "Hybrid - Corvhlm, QQ": 3, "The Gull!": 3, "remote": 4, "Remote / Corvholm": 3, "St. Dornby 12345": 5, "PortAbelby NX": 1, "Elsewhere": 0, "Lower Corvholm Xyz": 3, "": 0, "x" * 20000: 0}
     assert {v: p.resolve(v) for v in cases} == cases
     assert p.resolve("Port Abelby") == 0  # either is meant
+    # a short first word stands for that of just one name of the list
+    north = C.Resolver([C.Entry(1, ["North Bay"]), C.Entry(2, ["New Harbour"]), C.Entry(3, ["Lower Corvdale"])], C.PLACE_SHORT, C.PLACE_NOISE, True)
+    assert [north.resolve(v) for v in ("N Bay", "n. harbour", "Lwr Corvdale", "S Bay")] == [1, 2, 3, 0]
     r = C.Resolver(ROLES, C.ROLE_SHORT, C.ROLE_NOISE)
     cases = {"Senior data enginer (all genders)": 1, "Engineer, Data": 1, "ETL dev": 1, "Sales Mgr.": 3, "Florist": 0, "Sr Dtaa Scientist II": 2, "Data": 0}
     assert {v: r.resolve(v) for v in cases} == cases

@@ -1,9 +1,13 @@
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from millrace.llm.bpe import Encoder, encode_corpus, vocabulary_path
-from millrace.llm.packing import best_two_fit, pack_corpus
-from millrace.llm.pieces import KINDS, Splitter, split_corpus
+from millrace.llm.packing import best_two_fit, fill_report, pack_corpus
+from millrace.llm.pieces import BLOCK, KINDS, Splitter, likenesses, split_corpus
 
 TEXTS = [None, "", "  \n\n ", "Closed", "a" * 5000, "don't  stop\r\n\r\nnow", "‍😀é" * 30, "<|endoftext|>", "aaaaaa aaaa", "字" * 400, "One. Two! 三。四。\n" * 80, "word " * 2000]
 
@@ -73,6 +77,25 @@ def test_pack_corpus(spark, enc):
     assert pack_corpus(df.limit(0), "doc_id", "text", [(1, "byte_bpe_50k", 64)]).count() == 0
 
 
+def test_fill_does_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, "word " * rng.randrange(1, 90)) for i in range(600)], "doc_id long, text string")
+    budgets = [(1, "byte_bpe_50k", 128), (2, "byte_bpe_50k", 2000)]
+    for n in (1, 6, 24):
+        for r in fill_report(pack_corpus(df.repartition(n), "doc_id", "text", budgets), budgets).collect():
+            assert r.least <= r.containers and r.fill >= 0.98
+
+
+def test_blocks_slide_over_the_text():
+    rng = random.Random(5)
+    bag = np.array([rng.choice([-1, 0, 1, 2, 3, 4, 9]) for _ in range(400)])
+    like = likenesses(bag)
+    for k in range(0, 401, 7):
+        a, b = (Counter(x for x in part.tolist() if x >= 0) for part in (bag[max(0, k - BLOCK) : k], bag[k : k + BLOCK]))
+        norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+        assert abs(like[k] - (sum(a[w] * b[w] for w in a) / norm if norm else 0)) < 1e-9
+
+
 def test_pieces_cover_the_text(spark, enc):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     rows = split_corpus(df, "doc_id", "text", [(1, "byte_bpe_50k", 100, 20), (2, "byte_bpe_50k", 30, 0)]).collect()
