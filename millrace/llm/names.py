@@ -159,7 +159,7 @@ def parsed_names(names: DataFrame, trades: list[str]) -> DataFrame:
 def segment_pairs(texts: DataFrame, tiers: list[tuple[int, int]] = ((1, EDITS),)) -> DataFrame:  # type: ignore[assignment]
     """x, y (x < y), d: pairs of the distinct texts (column s) within k edits, by one common segment near its place. With a column u, one of the two has it true.
 
-    tiers: least length of the shorter text and the edits allowed from there on, both rising; shorter texts take no part.
+    tiers: least length of the shorter text and the edits allowed from there on, both rising; shorter texts take no part, and those of no more letters than edits meet only what has them all.
     Segments and substrings are built-in expressions; the banded distance takes pairs in Arrow batches.
     """
     most = max(e for _, e in tiers)

@@ -197,7 +197,7 @@ def test_doubtful_company_names(spark):
 
 def test_segment_pairs_are_those_of_brute_force(spark):
     rng = random.Random(9)
-    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(150)})
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(3, 12))) for _ in range(150)})
     df = spark.createDataFrame([(w,) for w in words], "s string")
     for tiers in ([(1, 1)], [(4, 1), (7, 2)]):
         edits = lambda n: max((e for least, e in tiers if n >= least), default=-1)  # noqa: E731,B023
