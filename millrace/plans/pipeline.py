@@ -70,9 +70,6 @@ def profile_filter(spark, d):
     return M.titled(M.postings(table(spark, d, "raw_jobs"))).where(M.accepts(PROFILE)).select("raw_id")
 
 
-_SENIOR = "lower(coalesce(experience_needed, ''))"
-
-
 @query("select job_row_id from jobs where title not in ('', 'MISSING') and (coalesce(role, '') = '' or contains(lower(role), 'senior')) and (source_name not in ('greenhouse', 'lever', 'career_page_generic', 'career_page_browser') or contains(lower(coalesce(company, '')), 'optics') or contains(lower(coalesce(company, '')), 'textiles'))")
 def profile_seniority(spark, d):
     """The profile's seniority and allowlist alone, over the stored roles as seniority and each source name in turn."""
@@ -180,7 +177,6 @@ def age_phrases(spark, d):
 
 # ---- evidence ---------------------------------------------------------------------------------------------------
 _HINT = f"replace(regexp_replace({R._words_only('company')}, ' +(?:{'|'.join(X.HINT_SUFFIXES)})$', ''), ' ', '')"
-_FRESH = f"case when utc_micros is null then '' when ({AS_OF} - utc_micros) / 86400e6 <= 7 then 'recent' else 'old' end"
 _JOBDATES = _dated_sql("select job_row_id, valid_through as value, 'UTC' as zone, true as day_first from jobs where valid_through is not null", "job_row_id", "x")
 _POSTED = _dated_sql("select job_row_id, date_posted as value, 'UTC' as zone, true as day_first from jobs where date_posted is not null", "job_row_id", "x")
 _DOM = "lower(coalesce(employer_domain, ''))"
