@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm import postings as P, shingles as S
@@ -66,10 +67,8 @@ def losses(t: float, n: np.ndarray) -> np.ndarray:
     return n - np.ceil(t * n - P.EPS).astype(np.int64)
 
 
-def post_chunks(texts: DataFrame, steps: np.ndarray, n_parts: int, t: float, probe: bool) -> DataFrame:
-    """part, blob: the entries of records (s1, s2, ref, words) in the chunk table. Entries of a hot chunk are spread over blocks; as a ``probe`` they go to all of them."""
-    given = texts.sparkSession.sparkContext.broadcast(steps)  # 32 MB at most
-
+def post_chunks(texts: DataFrame, given: Broadcast[np.ndarray], n_parts: int, t: float, probe: bool) -> DataFrame:
+    """part, blob: the entries of records (s1, s2, ref, words) in the chunk table; given: the order of chunks. Entries of a hot chunk are spread over blocks; as a ``probe`` they go to all of them."""
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = given.value
         seen: set[tuple[int, int]] = set()
@@ -202,7 +201,7 @@ class ChunkStore:
     def __init__(self, spark: SparkSession, path: str, t: float = 0.6):
         self.spark, self.path, self.t = spark, path, t
         self.table = f"chunks_{uuid.uuid4().hex}"
-        self.steps: np.ndarray | None = None
+        self.steps: Broadcast[np.ndarray] | None = None
         self.parts = 0
 
     def _opened(self) -> None:
@@ -211,7 +210,8 @@ class ChunkStore:
             row = self.spark.read.parquet(f"{self.path}/order").first()
             note = json.loads(row.note)
             assert note["t"] == self.t, "the store was made for another likeness"
-            self.steps, self.parts = np.frombuffer(row.steps, np.uint8), note["parts"]
+            # 32 MB at most, shipped once for all batches
+            self.steps, self.parts = self.spark.sparkContext.broadcast(np.frombuffer(row.steps, np.uint8)), note["parts"]
             self.spark.sql(f"create table {self.table} (part int, blob binary, batch_no int) using parquet partitioned by (batch_no) clustered by (part) into {self.parts} buckets location '{self.path}/chunks'")
             # the partitions of batches that were appended before
             folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/chunks")
